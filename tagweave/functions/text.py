@@ -20,22 +20,25 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
 # ---------------------------------------------------------------------------
+# Python's whitespace (str.isspace), spelled out so Java and RE2 agree.
+PY_SPACE = (r"\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# Python's \w (str.isalnum() or '_'), spelled out.
+PY_WORD = r"\p{L}\p{N}_"
 # Strict punctuation: the eight characters ! ? . , : ; ' "
 STRICT_PUNCTUATION = "[!?.,:;'\"]"
-# Noisy punctuation: Python's [^\w\d\s] (Unicode). Java equivalent chosen so
-# that letters, digits, underscore and Python whitespace (incl. \x1c-\x1f) are
-# excluded.
-NOISY_PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x{1c}-\x{1f}]"
+# Noisy punctuation: Python's [^\w\d\s].
+NOISY_PUNCTUATION = f"[^{PY_WORD}{PY_SPACE}]"
 # Emoji: maximal runs over the four blocks U+1F600-1F64F (emoticons),
 # U+1F300-1F5FF (symbols & pictographs), U+1F680-1F6FF (transport & map),
 # U+1F1E0-1F1FF (flags).
 EMOJI_RUN = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 # URL: optional scheme (http|ftp|https)://, host of dotted word parts, optional
 # rest. Any word.word counts as a URL.
-URL_PATTERN = (r"(?U)(?:(http|ftp|https)://)?([\w_-]+(?:(?:\.[\w_-]+)+))"
-               r"([\w.,@?^=%&:/~+#-]*[\w@?^=%&/~+#-])?")
-# Word filter applied to tokens: ^[\w\d]+$ (Unicode letters, digits, underscore).
-WORD_TOKEN = r"^[\p{L}\p{N}_]+$"
+URL_PATTERN = (f"(?:(http|ftp|https)://)?([{PY_WORD}-]+(?:(?:\\.[{PY_WORD}-]+)+))"
+               f"([{PY_WORD}.,@?^=%&:/~+#-]*[{PY_WORD}@?^=%&/~+#-])?")
+# Word filter applied to tokens: ^[\w\d]+$.
+WORD_TOKEN = f"^[{PY_WORD}]+$"
 # ---------------------------------------------------------------------------
 
 
@@ -88,7 +91,7 @@ def strip_urls(text: Column) -> Column:
 # --- T11 ---------------------------------------------------------------------
 def whitespace_tokens(text: Column) -> Column:
     """``str.split()``: split on (Unicode) whitespace, no empty tokens."""
-    return F.filter(F.split(text, r"(?U)[\s\x{1c}-\x{1f}]+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(text, f"[{PY_SPACE}]+"), lambda t: t != F.lit(""))
 
 
 # --- T15 ---------------------------------------------------------------------
@@ -127,7 +130,7 @@ def json_text(doc: Column, path: str) -> Column:
 def lines(text: Column) -> Column:
     """Split on newline and strip every line (ARRAY<STRING>)."""
     return F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(
-        s, r"^[\s\x{1c}-\x{1f}\x{85}\x{a0}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}]+$", ""))
+        s, f"^[{PY_SPACE}]+|[{PY_SPACE}]+$", ""))
 
 
 # --- T18 ---------------------------------------------------------------------
@@ -200,6 +203,11 @@ def _latin_fold_map() -> tuple[str, str]:
 
 
 # --- T22 ---------------------------------------------------------------------
+def _gram_at(tokens: Column, n: int):
+    # One-argument lambda (PySpark reads a 2-argument lambda as (element, index)).
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
+
 def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
     """All word n-grams for n in [n_min, n_max], space-joined, in sklearn order
     (all unigrams, then all bigrams, ...). Short arrays give no n-grams for
@@ -210,8 +218,7 @@ def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
         if n == 1:
             parts.append(tokens)
             continue
-        grams = F.transform(F.sequence(F.lit(1), size - n + 1),
-                            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), size - n + 1), _gram_at(tokens, n))
         parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
