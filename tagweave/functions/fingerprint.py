@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagweave.functions.text import let
+
 GRID = 128
 FINGERPRINT_WIDTH = GRID * GRID      # 16,384 positions (128 x 128)
 SKETCH_SIZE = 328                    # ~2 % density of the grid
@@ -26,10 +28,12 @@ def words(text: Column) -> Column:
 
 def shingles(ws: Column) -> Column:
     """Word 1-shingles followed by 2-shingles."""
-    n = F.size(ws)
-    bigrams = F.transform(F.sequence(F.lit(1), n - 1),
-                          lambda i: F.concat(F.element_at(ws, i), F.lit(" "), F.element_at(ws, i + 1)))
-    return F.concat(ws, F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>")))
+    def body(w):
+        n = F.size(w)
+        bigrams = F.transform(F.sequence(F.lit(1), n - 1),
+                              lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))
+        return F.concat(w, F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>")))
+    return let(ws, body)
 
 
 def fingerprint(text: Column, k: int = SKETCH_SIZE) -> Column:
@@ -56,6 +60,6 @@ def sparse_fingerprint(fp: Column) -> Column:
 def dense_fingerprint(fp: Column) -> Column:
     """Dense multi-hot ARRAY<DOUBLE> of width 16,384. Only on request:
     it is 128 KiB per row; everything else keeps the sparse form."""
-    s = sparse_fingerprint(fp)
-    return F.transform(F.sequence(F.lit(0), F.lit(FINGERPRINT_WIDTH - 1)),
-                       lambda i: F.when(F.array_contains(s, i), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return let(sparse_fingerprint(fp), lambda s: F.transform(
+        F.sequence(F.lit(0), F.lit(FINGERPRINT_WIDTH - 1)),
+        lambda i: F.when(F.array_contains(s, i), F.lit(1.0)).otherwise(F.lit(0.0))))

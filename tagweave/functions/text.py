@@ -46,6 +46,16 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst does not eliminate common subexpressions inside lambda
+    functions, so an array expression referenced from within ``transform`` /
+    ``filter`` would be recomputed for every element (quadratic). Binding it
+    through a one-element ``transform`` evaluates it once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- T1 / T2 -----------------------------------------------------------------
 def punctuation(text: Column, strict: bool = True) -> Column:
     """Every punctuation character of ``text`` in order (ARRAY<STRING>)."""
@@ -98,15 +108,16 @@ def whitespace_tokens(text: Column) -> Column:
 def token_counts(tokens: Column) -> Column:
     """token -> count map in O(n log n) without a shuffle: sort the array and
     measure the runs. Keys come out in sorted order."""
-    s = F.array_sort(tokens)
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n + 1))
-    keys = F.transform(starts, lambda i: F.element_at(s, i))
-    vals = F.zip_with(starts, ends, lambda a, b: (b - a).cast("bigint"))
-    return F.when(n > 0, F.map_from_arrays(keys, vals)).otherwise(
-        F.create_map().cast("map<string,bigint>"))
+    def body(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))
+        return let(starts, lambda st: F.when(n > 0, F.map_from_arrays(
+            F.transform(st, lambda i: F.element_at(s, i)),
+            F.zip_with(st, F.concat(F.slice(st, 2, F.greatest(n, F.lit(1))), F.array(n + 1)),
+                       lambda a, b: (b - a).cast("bigint")))).otherwise(
+            F.create_map().cast("map<string,bigint>")))
+    return let(F.array_sort(tokens), body)
 
 
 def as_output(tokens: Column, output_type: str = "list") -> Column:
@@ -212,15 +223,17 @@ def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
     """All word n-grams for n in [n_min, n_max], space-joined, in sklearn order
     (all unigrams, then all bigrams, ...). Short arrays give no n-grams for
     that n (guarded: ``sequence`` would count down)."""
-    size = F.size(tokens)
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        grams = F.transform(F.sequence(F.lit(1), size - n + 1), _gram_at(tokens, n))
-        parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def body(tk):
+        size = F.size(tk)
+        parts = []
+        for n in range(n_min, n_max + 1):
+            if n == 1:
+                parts.append(tk)
+                continue
+            grams = F.transform(F.sequence(F.lit(1), size - n + 1), _gram_at(tk, n))
+            parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return let(tokens, body)
 
 
 # --- T23 ---------------------------------------------------------------------

@@ -73,7 +73,7 @@ def s1_sample(t):
 def s2_samples(t):
     """(label, Sample(translation or text, fingerprint, time)); -1 = untagged."""
     s = S.to_samples(flagship_sample(t))
-    return s.select("id", "label", "sample_text", F.size("fingerprint").alias("fp_size"), "time")
+    return s.select("id", "label", "sample_text", F.size("fingerprint").cast("bigint").alias("fp_size"), "time")
 
 
 @register("s1_bag_sample_counts", f"""
@@ -138,7 +138,7 @@ def l13_seeded_shuffle(t):
     """Seeded shuffle of a corpus (position of each doc)."""
     from pyspark.sql import Window
     w = Window.orderBy(*S.seeded_order(42, "doc_id"))
-    return t.documents.select("doc_id", F.row_number().over(w).alias("pos"))
+    return t.documents.select("doc_id", F.row_number().over(w).cast("bigint").alias("pos"))
 
 
 _SEED_SPLIT_SQL = """

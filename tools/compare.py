@@ -36,6 +36,22 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "FloatType": "FLOAT",
+                 "ShortType": "SMALLINT", "ByteType": "TINYINT", "DateType": "DATE"}
+
+
+def type_mismatches(sdf, res):
+    duck = {d[0]: str(d[1]) for d in res.description}
+    out = []
+    for f in sdf.schema.fields:
+        st = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        dt = duck.get(f.name, "?")
+        if st != dt and not (st == "VARCHAR" and dt == "JSON"):
+            out.append(f"{f.name}: spark {st} duck {dt}")
+    return out
+
+
 def rows_of(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
@@ -82,7 +98,11 @@ def main():
             bad += 1
             continue
         a, b = rows_of(cols, srows), rows_of(dcols, drows)
-        if a == b:
+        tm = type_mismatches(df, res)
+        if a == b and tm:
+            print(f"TYPE {key}: values equal, types differ {tm}")
+            bad += 1
+        elif a == b:
             print(f"OK   {key}: {len(a)} rows {ts:.1f}s")
             ok += 1
         else:
