@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
+from tagweave.operators.ranking import ordered_rank
 
 # Reaction codes.
 REACTION_CODES = [("LOVE", 0), ("ANGRY", 1), ("HAHA", 2), ("WOW", 3), ("SAD", 4)]
@@ -64,7 +65,7 @@ def collect_top_reaction_texts(long: DataFrame, form: str = "string") -> DataFra
     group, so use only where groups are known to be small."""
     g = long.groupBy("post_id", "type", "r", "c")
     if form == "string":
-        return g.agg(F.listagg("message", "\n").withinGroup(F.col("message")).alias("text"))
+        return g.agg(F.expr("listagg(message, '\\n') WITHIN GROUP (ORDER BY message)").alias("text"))
     return g.agg(F.array_sort(F.collect_list("message")).alias("texts"))
 
 
@@ -99,9 +100,11 @@ def posts_with_many_long_comments(comments: DataFrame, min_chars: int = 140, min
 
 
 def running_index(df: DataFrame, group_col: str, order_cols: Sequence[str]) -> DataFrame:
-    """0-based running index within a group (``c += 1``)."""
-    w = Window.partitionBy(group_col).orderBy(*order_cols)
-    return df.withColumn("c", (F.row_number().over(w) - 1).cast("int"))
+    """0-based running index within a group (``c += 1``). A post may hold
+    a third of all comments, so the rank is computed without a per-post
+    window (``ordered_rank``)."""
+    r = ordered_rank(df, [group_col], list(order_cols), "__rn", broadcast_runs=False)
+    return r.withColumn("c", (F.col("__rn") - 1).cast("int")).drop("__rn")
 
 
 def articles_in_categories(abstracts: DataFrame, categories: DataFrame, wanted: Sequence[str]) -> DataFrame:

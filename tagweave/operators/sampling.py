@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash01, md5_order
+from tagweave.operators.ranking import ordered_rank
 
 
 def _bags(df: DataFrame, n_bags: int | None) -> DataFrame:
@@ -142,12 +143,12 @@ def seed_split(df: DataFrame, id_col: str, label_col: str, seed=1, share: float
     fold = F.col(fold_col) if fold_col else F.lit(0)
     key = md5_order(seed, fold, F.col(id_col))
     lab = df.where(F.col(label_col) >= 0)
-    w = Window.partitionBy(*parts).orderBy(key, id_col) if parts else Window.orderBy(key, id_col)
-    wn = Window.partitionBy(*parts) if parts else Window.partitionBy()
-    rn = F.row_number().over(w)
-    n = F.count(F.lit(1)).over(wn)
+    # Classes are few and large: exact per-class ranks without one task per class.
+    lab = ordered_rank(lab, parts, [key, F.col(id_col)], "__rn", "__n")
+    n = F.col("__n")
     limit = F.greatest(F.lit(1), F.floor(n * share)) if per_class else F.floor(n * share)
-    lab = lab.withColumn("seed_role", F.when(rn <= limit, "train").otherwise("test"))
+    lab = lab.withColumn("seed_role", F.when(F.col("__rn") <= limit, "train").otherwise("test")) \
+        .drop("__rn", "__n")
     unl = df.where(~(F.col(label_col) >= 0)).withColumn("seed_role", F.lit(None).cast("string"))
     return lab.unionByName(unl)
 

@@ -54,6 +54,18 @@ VIEWS = {
     "v_retina_pos": ("select vec_id, concat('label', label) as slug, "
                      "((i - 1) * 256 + cast(floor((cast(embedding[i] as double) + 1.0) * 128) as int))::int as pos "
                      "from embeddings, unnest(generate_series(1, len(embedding))) g(i)"),
+    "v_legacy_comments": ("select doc_id as id, json_object('message', text) as data, "
+                          "json_object('fingerprint', case when doc_id % 5 <> 0 then [CAST(doc_id % 16384 AS INTEGER)] end, "
+                          "'lang', lang, 'page', 'page' || (doc_id % 2)::VARCHAR) as meta from documents"),
+    "v_user_tag_comment": ("select 1 as user_id, case when quality = 1 then 'good' else 'bad' end as tag, "
+                           "doc_id as comment_id from labels union all "
+                           "select 2, 'toxic', doc_id from labels where toxic = 1"),
+    "v_tagset_tags": "select * from (values (1, 'good'), (1, 'bad'), (2, 'toxic')) t(tagset_id, tag)",
+    "v_user_tagset": "select * from (values (1, 1), (2, 2), (3, 1)) t(user_id, tagset_id)",
+    "v_grants": ("select distinct e.user_id, cast(substr(d.source, 4) as int) as source_id "
+                 "from events e join documents d on e.event_id = d.doc_id"),
+    "v_models": ("select event_id as model_id, CAST(1 + user_id % 2 AS INTEGER) as tagset_id, user_id, "
+                 "value / 100.0 as score, ts as trained_ts from events where event_type = 'signup'"),
     "v_corpus": (f"select doc_id, text, lang as category, case when {h01(7, 0, 'doc_id')} < 0.75 "
                  f"then 'train' else 'test' end as subset from documents"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash01, md5_order
 from tagweave.operators import sampling as S
+from tagweave.operators.ranking import ordered_rank
 from tagweave.plans.oracle_views import h01
 from tagweave.plans.registry import register
 
@@ -136,9 +137,7 @@ def l7_hash_split(t):
   ORDER BY md5(concat('42', ':', '0', ':', doc_id::VARCHAR)), doc_id) AS pos FROM documents""")
 def l13_seeded_shuffle(t):
     """Seeded shuffle of a corpus (position of each doc)."""
-    from pyspark.sql import Window
-    w = Window.orderBy(*S.seeded_order(42, "doc_id"))
-    return t.documents.select("doc_id", F.row_number().over(w).cast("bigint").alias("pos"))
+    return ordered_rank(t.documents.select("doc_id"), [], S.seeded_order(42, "doc_id"), "pos")
 
 
 _SEED_SPLIT_SQL = """
@@ -228,8 +227,8 @@ SELECT CAST((pos - slot + (SELECT n FROM n)) % (SELECT n FROM n) AS BIGINT) AS t
        CAST(slot AS INTEGER) AS slot, item_id FROM slots""")
 def l10_ntuples(t):
     """L10 ``ntuples(lst, 3)`` over the benchmark items in id order."""
-    from pyspark.sql import Window
-    items = t.benchmark.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("pos"))
+    items = ordered_rank(t.benchmark.select("item_id"), [], ["item_id"], "pos") \
+        .withColumn("pos", F.col("pos") - 1)
     out = S.circular_tuples(items, "pos", 3)
     return out.select(F.col("tuple_id").cast("bigint").alias("tuple_id"), F.col("slot").cast("int").alias("slot"),
                       "item_id")

@@ -111,6 +111,45 @@ class Views:
         return e.select("vec_id", F.concat(F.lit("label"), F.col("label").cast("string")).alias("slug"),
                         F.array_sort(pos).alias("retina"))
 
+    # --- legacy tagger inputs ----------------------------------------------------
+    def legacy_comments(self) -> DataFrame:
+        """Legacy comments: (id, data JSON {message}, meta JSON {fingerprint, lang, page});
+        every 5th document has no fingerprint."""
+        d = self.t.documents
+        fp = F.when(F.pmod("doc_id", F.lit(5)) != 0, F.array(F.pmod("doc_id", F.lit(16384)).cast("int")))
+        meta = F.to_json(F.struct(fp.alias("fingerprint"), F.col("lang").alias("lang"),
+                                  F.concat(F.lit("page"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("page")))
+        return d.select(F.col("doc_id").alias("id"), F.to_json(F.struct(F.col("text").alias("message"))).alias("data"),
+                        meta.alias("meta"))
+
+    def user_tag_comment(self) -> DataFrame:
+        """(user_id, tag, comment_id): user 1 tags quality as good/bad, user 2 tags toxic."""
+        lab = self.t.labels
+        a = lab.select(F.lit(1).alias("user_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tag"),
+                       F.col("doc_id").alias("comment_id"))
+        b = lab.where(F.col("toxic") == 1).select(F.lit(2).alias("user_id"), F.lit("toxic").alias("tag"),
+                                                  F.col("doc_id").alias("comment_id"))
+        return a.unionByName(b)
+
+    def tagset_tags(self) -> DataFrame:
+        return self.t.spark.createDataFrame([(1, "good"), (1, "bad"), (2, "toxic")], "tagset_id int, tag string")
+
+    def user_tagset(self) -> DataFrame:
+        return self.t.spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "user_id int, tagset_id int")
+
+    def grants(self) -> DataFrame:
+        """Sources a user may read: the sources of the documents behind the user's events."""
+        e = self.t.events.select("event_id", "user_id")
+        d = self.t.documents.select("doc_id", F.substring("source", 4, 100).cast("int").alias("source_id"))
+        return e.join(d, e.event_id == d.doc_id).select("user_id", "source_id").distinct()
+
+    def models(self) -> DataFrame:
+        """Model registry rows (one per signup event)."""
+        e = self.t.events.where(F.col("event_type") == "signup")
+        return e.select(F.col("event_id").alias("model_id"), (F.lit(1) + F.pmod("user_id", F.lit(2))).cast("int")
+                        .alias("tagset_id"), "user_id", (F.col("value") / 100.0).alias("score"),
+                        F.col("ts").alias("trained_ts"))
+
     # --- labelled corpus --------------------------------------------------------
     def corpus(self) -> DataFrame:
         """Labelled corpus (doc_id, text, category, subset): category = lang,
