@@ -9,6 +9,7 @@ numbers with one range shuffle:
    contiguous slice of the global order, no task more than its share;
 2. within a task, ``monotonically_increasing_id`` is consecutive, so a
    row's index inside its (task, group) run is ``id - min(id)``;
+   The numbered rows are checkpointed so that both reads below agree.
 3. a table of (task, group) -> (first id, count) — at most #groups x #tasks
    rows, a proven bound — gives each run its offset by a running sum;
 4. that table is broadcast back: rank = offset + local index + 1.
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.session import cut_lineage
+
 
 def ordered_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                  rank_col: str = "rank", count_col: str | None = None,
@@ -44,6 +47,11 @@ def ordered_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     x = (x.repartitionByRange(n, *key_names).sortWithinPartitions(*key_names)
          .withColumn("__pid", F.spark_partition_id())
          .withColumn("__mid", F.monotonically_increasing_id()))
+    # The numbered rows are read twice (run table and final join). Range
+    # bounds come from a sample whose outcome depends on input row order, which
+    # is not stable across re-reads of a shuffle; a reliable checkpoint fixes
+    # one numbering for both reads (and for retries after a lost executor).
+    x = cut_lineage(x)
     gcols = list(group_cols)
     runs = x.groupBy("__pid", *gcols).agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*gcols).orderBy("__pid") if gcols else Window.orderBy("__pid")
