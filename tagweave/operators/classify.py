@@ -94,8 +94,8 @@ def predict_bernoulli_nb(x: DataFrame, ids: DataFrame, model) -> DataFrame:
 
 def argmax(scores: DataFrame, higher_is_better: bool = True) -> DataFrame:
     """Winner per id; ties go to the lowest class."""
-    key = F.struct(F.col("score") if higher_is_better else -F.col("score"), -F.col("c"))
-    return scores.groupBy("id").agg(F.max_by("c", key).alias("prediction"))
+    key = F.struct(-F.col("score") if higher_is_better else F.col("score"), F.col("c"))
+    return scores.groupBy("id").agg(F.min_by("c", key).alias("prediction"))
 
 
 # --- M10 one-vs-rest multi-label ----------------------------------------------------------
@@ -133,7 +133,7 @@ def predict_ovr_nb(x: DataFrame, ids: DataFrame, model, classes: list) -> DataFr
         .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
     sc = all_kc.join(s, ["id", "k", "c"], "left").join(F.broadcast(prior.select("k", "c", "logprior")), ["k", "c"], "left") \
         .select("id", "k", "c", (F.coalesce("logprior", F.lit(float("-inf"))) + F.coalesce("s", F.lit(0.0))).alias("score"))
-    w = sc.groupBy("id", "k").agg(F.max_by("c", F.struct("score", -F.col("c"))).alias("c"))
+    w = sc.groupBy("id", "k").agg(F.min_by("c", F.struct(-F.col("score"), F.col("c"))).alias("c"))
     return w.select("id", "k", F.col("c").alias("hit"))
 
 
