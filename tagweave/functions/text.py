@@ -239,13 +239,14 @@ def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
 # --- T23 ---------------------------------------------------------------------
 def char_windows(text: Column, length: int = 25, step: int = 3) -> Column:
     """Semi-redundant windows: ARRAY<STRUCT<window, next_char>> of ``length``
-    characters every ``step`` characters, the following character as label."""
-    last = F.char_length(text) - length - 1
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
-    wins = F.transform(starts, lambda i: F.struct(
-        F.substring(text, i + 1, length).alias("window"),
-        F.substring(text, i + 1 + length, 1).alias("next_char")))
-    return F.when(last >= 0, wins)
+    characters every ``step`` characters, the following character as label.
+    One linear regex pass (zero-width match at every position); indexing a
+    UTF-8 string by character position would make this quadratic."""
+    pat = F.lit(f"(?s)(?=(.{{{length}}})(.))")
+    wins = F.regexp_extract_all(text, pat, F.lit(1))
+    nxt = F.regexp_extract_all(text, pat, F.lit(2))
+    pairs = F.arrays_zip(wins.alias("window"), nxt.alias("next_char"))
+    return F.filter(pairs, lambda x, i: F.pmod(i, F.lit(step)) == 0)
 
 
 # --- T25 ---------------------------------------------------------------------
