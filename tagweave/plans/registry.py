@@ -39,5 +39,5 @@ def register(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from tagweave.plans import (q_sampling, q_text, q_relational, q_reactions,  # noqa: F401
-                                q_vectors, q_models, q_lens, q_cluster, q_language)
+                                q_vectors, q_models, q_lens, q_cluster, q_language, q_mllib)
     return QUERIES
