@@ -159,7 +159,8 @@ def predict_centroids(x: DataFrame, ids: DataFrame, centroids: DataFrame) -> Dat
 
 
 # --- M17 k nearest neighbours ---------------------------------------------------------------------
-def knn_cosine(test: DataFrame, train: DataFrame, k: int = 10) -> DataFrame:
+def knn_cosine(test: DataFrame, train: DataFrame, k: int = 10, test_ids: DataFrame | None = None,
+               train_ids: DataFrame | None = None) -> DataFrame:
     """M17 neighbours by cosine similarity of L2-normalised sparse vectors:
     (id, nid, sim, rank), exactly k per test id (if train has k rows).
 
@@ -169,15 +170,19 @@ def knn_cosine(test: DataFrame, train: DataFrame, k: int = 10) -> DataFrame:
     index would fill the remaining places with the lowest train ids. If an id
     has m < k positive neighbours, those are all its positive neighbours, so
     its fill lies within the k + m <= 2k lowest train ids: that small list is
-    the only candidate set for the fill. No pair is dropped by a cap."""
+    the only candidate set for the fill. No pair is dropped by a cap.
+    ``test_ids`` / ``train_ids`` list rows whose vector may be empty (all
+    terms filtered out); such rows have similarity 0 to everything."""
     tr = train.select(F.col("id").alias("nid"), "term", F.col("value").alias("v2"))
     sims = test.join(tr, "term").groupBy("id", "nid").agg(F.sum(F.col("value") * F.col("v2")).alias("sim")) \
         .where(F.col("sim") > 1e-12)
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "nid")
     pos = sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    low = [r[0] for r in train.select("id").distinct().orderBy("id").limit(2 * k).collect()]   # 2k ids
+    tr_ids = (train_ids if train_ids is not None else train).select("id").distinct()
+    te_ids = (test_ids if test_ids is not None else test).select("id").distinct()
+    low = [r[0] for r in tr_ids.orderBy("id").limit(2 * k).collect()]   # 2k ids
     n_pos = pos.groupBy("id").agg(F.count(F.lit(1)).alias("np"))
-    need = test.select("id").distinct().join(n_pos, "id", "left") \
+    need = te_ids.join(n_pos, "id", "left") \
         .select("id", F.coalesce("np", F.lit(0)).alias("np")).where(F.col("np") < k)
     cand = need.withColumn("nid", F.explode(F.array(*[F.lit(x) for x in low]))) \
         .join(pos.select("id", "nid"), ["id", "nid"], "left_anti")
