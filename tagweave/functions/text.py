@@ -82,15 +82,15 @@ def capitalization(text: Column, fraction: bool = True) -> Column:
 # --- T8 / T9 -----------------------------------------------------------------
 def urls(text: Column, short_url: bool = False) -> Column:
     """URLs found in ``text``. ``short_url`` keeps the host only, otherwise
-    ``scheme://host+rest`` (a missing scheme gives ``://host...``)."""
-    hosts = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(2))
+    ``scheme://host+rest`` (a missing scheme gives ``://host...``). One regex
+    pass over the text; each (short) match is then split into its groups."""
+    anchored = f"^{URL_PATTERN}$"
+    matches = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0))
     if short_url:
-        return hosts
-    schemes = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(1))
-    rests = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(3))
-    parts = F.arrays_zip(schemes.alias("s"), hosts.alias("h"), rests.alias("r"))
-    return F.transform(parts, lambda p: F.concat(F.coalesce(p["s"], F.lit("")), F.lit("://"),
-                                                 p["h"], F.coalesce(p["r"], F.lit(""))))
+        return F.transform(matches, lambda m: F.regexp_extract(m, anchored, 2))
+    return F.transform(matches, lambda m: F.concat(
+        F.regexp_extract(m, anchored, 1), F.lit("://"), F.regexp_extract(m, anchored, 2),
+        F.regexp_extract(m, anchored, 3)))
 
 
 def strip_urls(text: Column) -> Column:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.session import cut_lineage
+
 
 def class_list(labels: DataFrame, label_col: str = "label") -> list:
     """Distinct classes, sorted (collected: one row per class)."""
@@ -173,6 +175,8 @@ def knn_cosine(test: DataFrame, train: DataFrame, k: int = 10, test_ids: DataFra
     the only candidate set for the fill. No pair is dropped by a cap.
     ``test_ids`` / ``train_ids`` list rows whose vector may be empty (all
     terms filtered out); such rows have similarity 0 to everything."""
+    test = cut_lineage(test.select("id", "term", "value"))       # each read more than once
+    train = cut_lineage(train.select("id", "term", "value"))
     tr = train.select(F.col("id").alias("nid"), "term", F.col("value").alias("v2"))
     sims = test.join(tr, "term").groupBy("id", "nid").agg(F.sum(F.col("value") * F.col("v2")).alias("sim")) \
         .where(F.col("sim") > 1e-12)

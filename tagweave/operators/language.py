@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import PY_SPACE, token_counts
+from tagweave.session import cut_lineage
 
 UNKNOWN = "un"
 
@@ -54,9 +55,9 @@ def gram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str):
     """Fit the model: (gram, lp_<lang>...) table, languages, priors."""
     langs = [r[0] for r in train.select(lang_col).distinct().orderBy(lang_col).collect()]   # a few codes
-    g = gram_counts(train.select(id_col, text_col), id_col, text_col).join(
-        train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "id")
-    c = g.groupBy("gram").pivot("lang", langs).agg(F.sum("cnt")).fillna(0)
+    g = cut_lineage(gram_counts(train.select(id_col, text_col), id_col, text_col).join(
+        train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "id"))
+    c = cut_lineage(g.groupBy("gram").pivot("lang", langs).agg(F.sum("cnt")).fillna(0))
     totals = g.groupBy("lang").agg(F.sum("cnt").alias("n")).collect()
     n_l = {r["lang"]: float(r["n"]) for r in totals}
     v = c.count()
