@@ -121,3 +121,18 @@ def test_multi_hot_roundtrip(spark):
     back = spark.createDataFrame([(r,)], "b array<int>").select(
         T.multi_hot_inverse(F.col("b"), ["de", "en", "es", "fr"])).collect()[0][0]
     assert back == ["de", "fr"]
+
+
+def test_transformers_keep_params_and_run(spark):
+    from datetime import datetime as dt
+    from pyspark.ml import Pipeline
+    from tagweave.functions.transformers import (CapitalizationTransformer, LemmaTokenTransformer,
+                                                 PunctuationTransformer, TimeOfDayTransformer)
+    p = PunctuationTransformer(strict=False, outputType="list")
+    assert p.copy().getOrDefault(p.strict) is False                     # Q2: strict survives a copy
+    lt = LemmaTokenTransformer(passThrough=True, outputType="str")
+    assert lt.copy().getOrDefault(lt.passThrough) is True               # Q3: pass_through survives a copy
+    df = spark.createDataFrame([("Hi! (ok). Big dogs", dt(2024, 1, 1, 17, 0))], "text string, time timestamp_ntz")
+    pipe = Pipeline(stages=[p, CapitalizationTransformer(), TimeOfDayTransformer(resolution=3), lt]).fit(df)
+    r = pipe.transform(df).collect()[0]
+    assert r["punctuation"] == ["!", "(", ")", "."] and r["timeofday"] == 51 and r["tokens"] == "Hi! (ok). Big dogs"
