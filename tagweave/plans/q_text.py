@@ -112,7 +112,7 @@ def t5_time_of_day(t):
 FROM events""")
 def t6_timestamp_inputs(t):
     """Epoch seconds and text timestamps go through the same tick."""
-    e = t.events.select("event_id", F.unix_timestamp("ts").alias("epoch"),
+    e = t.events.select("event_id", TOD.epoch_seconds(F.col("ts")).alias("epoch"),
                         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("s"))
     return e.select("event_id",
                     TOD.time_of_day(TOD.to_timestamp_any(F.col("epoch"), "epoch"), 2).alias("tod_epoch"),
