@@ -231,3 +231,63 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     # Two single-row aggregates side by side (join on a constant key).
     return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
+
+
+# --- V8 PCA ------------------------------------------------------------------------------------------
+def pca_sparse(x: DataFrame, width: int, k: int, rounds: int = 15, seed: int = 0):
+    """V8: centred PCA of sparse rows (id, term, value) of a given width, by
+    subspace iteration. Each round multiplies by the centred data without
+    forming it: (X - 1 mu^T) V = XV - 1 (mu^T V) and
+    (X - 1 mu^T)^T Y = X^T Y - mu (1^T Y); both products are a join with a
+    broadcast width x k table (bounded by the width) and a sum. Returns
+    (components width x k, mean, explained variances)."""
+    from tagweave.session import cut_lineage
+    spark = x.sparkSession
+    x = cut_lineage(x.select("id", "term", "value"))          # read every round
+    n = x.select("id").distinct().count()
+    mu = np.zeros(width)
+    for r in x.groupBy("term").agg(F.sum("value").alias("s")).collect():    # at most width rows
+        mu[int(r["term"])] = r["s"] / n
+    rng = np.random.default_rng(seed)
+    k_out, k = k, min(width, k + 5)          # oversampled subspace converges faster
+    v, _ = np.linalg.qr(rng.normal(size=(width, k)))
+
+    def mult(v):
+        vt = spark.createDataFrame([(int(i), int(c), float(v[i, c])) for i in range(width) for c in range(k)
+                                    if v[i, c] != 0.0], "term int, comp int, w double")
+        shift = mu @ v
+        y = x.join(F.broadcast(vt), "term").groupBy("id", "comp").agg(F.sum(F.col("value") * F.col("w")).alias("xv"))
+        y = y.withColumn("y", F.col("xv") - F.element_at(F.array(*[F.lit(float(s)) for s in shift]), F.col("comp") + 1))
+        ids = x.select("id").distinct()
+        # rows whose entries miss every basis term still get y = -mu^T V
+        full = ids.withColumn("comp", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).join(y, ["id", "comp"], "left") \
+            .select("id", "comp", F.coalesce("y", -F.element_at(F.array(*[F.lit(float(s)) for s in shift]),
+                                                              F.col("comp") + 1)).alias("y"))
+        return full
+
+    for _ in range(rounds):
+        y = mult(v)
+        xty = np.zeros((width, k))
+        for r in x.join(y, "id").groupBy("term", "comp").agg(F.sum(F.col("value") * F.col("y")).alias("s")).collect():
+            xty[int(r["term"]), int(r["comp"])] = r["s"]
+        sy = np.zeros(k)
+        for r in y.groupBy("comp").agg(F.sum("y").alias("s")).collect():
+            sy[int(r["comp"])] = r["s"]
+        z = xty - np.outer(mu, sy)
+        v, _ = np.linalg.qr(z)
+    # Rayleigh-Ritz: order the basis by variance.
+    y = mult(v)
+    yy = np.zeros((k, k))
+    ymat = {}
+    for r in y.collect():
+        ymat.setdefault(r["id"], np.zeros(k))[int(r["comp"])] = r["y"]
+    ym = np.array(list(ymat.values()))
+    yy = ym.T @ ym / max(n - 1, 1)
+    vals, rot = np.linalg.eigh(yy)
+    order = np.argsort(-vals)[:k_out]
+    comps = v @ rot[:, order]
+    for c in range(k_out):
+        m = np.argmax(np.abs(comps[:, c]))
+        if comps[m, c] < 0:
+            comps[:, c] = -comps[:, c]
+    return comps, mu, vals[order]

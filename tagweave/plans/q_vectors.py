@@ -246,3 +246,20 @@ def m1_sample_vectors(t):
     emo = V.hashed_counts(e, "id", "e", 20).select("id", F.lit("emoji").alias("block"), "term",
                                                      F.col("tf").cast("double").alias("value"))
     return tod.unionByName(emo)
+
+
+@register("v8_fingerprint_pca")
+def v8_fingerprint_pca(t):
+    """V8: centred PCA (4 components) of the 16,384-wide multi-hot retina
+    fingerprints, without densifying them: projections (vec_id, comp, value)
+    of every retina. Checked against numpy PCA in tests."""
+    pos = t.views.retina_pos().select(F.col("vec_id").alias("id"), F.col("pos").alias("term")).distinct() \
+        .withColumn("value", F.lit(1.0))
+    comps, mu, _ = V.pca_sparse(pos, FP.FINGERPRINT_WIDTH, 4, rounds=10)
+    basis = t.spark.createDataFrame([(int(i), int(c), float(comps[i, c])) for i in range(comps.shape[0])
+                                     for c in range(comps.shape[1]) if comps[i, c] != 0.0],
+                                    "term int, comp int, w double")
+    shift = mu @ comps
+    proj = pos.join(F.broadcast(basis), "term").groupBy("id", "comp").agg(F.sum(F.col("value") * F.col("w")).alias("xv"))
+    sh = F.element_at(F.array(*[F.lit(float(s)) for s in shift]), F.col("comp") + 1)
+    return proj.select(F.col("id").alias("vec_id"), "comp", F.round(F.col("xv") - sh, 6).alias("value"))

@@ -128,3 +128,18 @@ def test_kmeans_two_blobs(spark):
     assign, centers = CL.kmeans(pts, ["x", "y"], k=2, rounds=5)
     lab = {r["id"]: r["cluster"] for r in assign.collect()}
     assert len({lab[i] for i in range(0, 20, 2)}) == 1 and len({lab[i] for i in range(1, 20, 2)}) == 1
+
+
+def test_pca_sparse_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    m = (rng.random((60, 20)) < 0.2).astype(float) * rng.random((60, 20))
+    m[:, 3] += np.linspace(0, 2, 60)
+    rows = [(i, t, float(m[i, t])) for i in range(60) for t in range(20) if m[i, t] != 0]
+    x = spark.createDataFrame(rows, "id long, term int, value double")
+    comps, mu, var = V.pca_sparse(x, 20, 2, rounds=30)
+    c = m - m.mean(0)
+    w, u = np.linalg.eigh(c.T @ c / 59)
+    top = u[:, np.argsort(-w)[:2]]
+    assert np.allclose(mu, m.mean(0))
+    for j in range(2):
+        assert abs(abs(comps[:, j] @ top[:, j]) - 1.0) < 1e-4
