@@ -143,3 +143,26 @@ def test_pca_sparse_matches_numpy(spark):
     assert np.allclose(mu, m.mean(0))
     for j in range(2):
         assert abs(abs(comps[:, j] @ top[:, j]) - 1.0) < 1e-4
+
+
+def test_threshold_clustering_radius_bound(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        base = (i % 4) * 5
+        terms = [base + k for k in rng.choice(5, 3, replace=False)]
+        vals = rng.random(3) + 0.5
+        vals /= np.linalg.norm(vals)
+        rows += [(i, int(t), float(v)) for t, v in zip(terms, vals)]
+    x = spark.createDataFrame(rows, "id long, term int, value double")
+    lab = {r["id"]: r["label"] for r in CL.threshold_clustering(x, 0.7, group_rows=40).collect()}
+    assert len(lab) == 120
+    m = np.zeros((120, 20))
+    for i, t, v in rows:
+        m[i, t] = v
+    for c in set(lab.values()):
+        pts = m[[i for i in range(120) if lab[i] == c]]
+        radius = np.sqrt(max(((pts - pts.mean(0)) ** 2).sum(1).mean(), 0.0))
+        assert radius <= 0.7 + 1e-9
+    b = {r["id"]: r["label"] for r in CL.threshold_clustering(x.repartition(7), 0.7, group_rows=40).collect()}
+    assert b == lab                                             # partitioning does not change the result
