@@ -29,6 +29,7 @@ from tagweave.functions.text import PY_SPACE, token_counts
 from tagweave.session import cut_lineage
 
 UNKNOWN = "un"
+MAX_BROADCAST_GRAMS = 5_000_000
 
 
 def clean(text: Column) -> Column:
@@ -45,8 +46,17 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(clean(text), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
+def gram_occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, gram): one row per trigram occurrence (no per-document counting:
+    sums over occurrences equal count-weighted sums, and partial aggregation
+    collapses them before any shuffle)."""
+    g = F.when(F.char_length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0, trigrams(F.col(text_col))) \
+        .otherwise(F.array().cast("array<string>"))
+    return df.select(F.col(id_col).alias("id"), F.explode(g).alias("gram"))
+
+
 def gram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gram, cnt) per document, no shuffle."""
+    """(id, gram, cnt) per document (sort-and-run-length per row, no shuffle)."""
     g = F.when(F.char_length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0, trigrams(F.col(text_col))) \
         .otherwise(F.array().cast("array<string>"))
     return df.select(F.col(id_col).alias("id"), F.explode(token_counts(g)).alias("gram", "cnt"))
@@ -55,11 +65,12 @@ def gram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str):
     """Fit the model: (gram, lp_<lang>...) table, languages, priors."""
     langs = [r[0] for r in train.select(lang_col).distinct().orderBy(lang_col).collect()]   # a few codes
-    g = cut_lineage(gram_counts(train.select(id_col, text_col), id_col, text_col).join(
-        train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "id"))
-    c = cut_lineage(g.groupBy("gram").pivot("lang", langs).agg(F.sum("cnt")).fillna(0))
-    totals = g.groupBy("lang").agg(F.sum("cnt").alias("n")).collect()
-    n_l = {r["lang"]: float(r["n"]) for r in totals}
+    occ = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
+    occ = occ.select("lang", F.explode(F.when(F.char_length(F.trim(F.coalesce("t", F.lit("")))) > 0,
+                                              trigrams(F.col("t"))).otherwise(F.array().cast("array<string>")))
+                     .alias("gram"))
+    c = cut_lineage(occ.groupBy("gram").pivot("lang", langs).count().fillna(0))
+    n_l = {l: float(v or 0) for l, v in zip(langs, c.select(*[F.sum(F.col(f"`{l}`")) for l in langs]).first())}
     v = c.count()
     model = c.select("gram", *[F.log((F.col(f"`{l}`") + 1.0) / F.lit(n_l.get(l, 0.0) + v)).alias(f"lp_{l}")
                                for l in langs])
@@ -71,9 +82,12 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str):
 def detect(df: DataFrame, id_col: str, text_col: str, model) -> DataFrame:
     """(id, lang_id) for every row; 'un' for null / empty / no known trigram."""
     table, langs, priors = model
-    g = gram_counts(df.select(id_col, text_col), id_col, text_col)
-    j = g.join(table, "gram")
-    s = j.groupBy("id").agg(*[F.sum(F.col("cnt") * F.col(f"lp_{l}")).alias(f"s_{l}") for l in langs])
+    g = gram_occurrences(df.select(id_col, text_col), id_col, text_col)
+    # The model has one row per training trigram (bounded by the alphabet's
+    # trigrams); broadcast it when the count allows, else a shuffle join.
+    small = table.count() <= MAX_BROADCAST_GRAMS
+    j = g.join(F.broadcast(table) if small else table, "gram")
+    s = j.groupBy("id").agg(*[F.sum(f"lp_{l}").alias(f"s_{l}") for l in langs])
     cand = F.array(*[F.struct((-(F.col(f"s_{l}") + F.lit(math.log(priors[l])))).alias("neg"), F.lit(l).alias("lang"))
                      for l in langs])
     best = s.select("id", F.array_min(cand)["lang"].alias("lang_id"))
