@@ -136,3 +136,23 @@ def test_transformers_keep_params_and_run(spark):
     pipe = Pipeline(stages=[p, CapitalizationTransformer(), TimeOfDayTransformer(resolution=3), lt]).fit(df)
     r = pipe.transform(df).collect()[0]
     assert r["punctuation"] == ["!", "(", ")", "."] and r["timeofday"] == 51 and r["tokens"] == "Hi! (ok). Big dogs"
+
+
+def test_sql_functions_equal_column_functions(spark, tables):
+    from tagweave.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    tables.documents.createOrReplaceTempView("docs_sqlfn")
+    tables.events.createOrReplaceTempView("events_sqlfn")
+    got = spark.sql("""SELECT doc_id, tw_capitalization(text) c, tw_punctuation_strict(text) ps,
+        tw_punctuation_noisy(text) pn, tw_url_hosts(text) h, tw_trim80(text) t80, tw_whitespace_tokens(text) w
+        FROM docs_sqlfn""").orderBy("doc_id").collect()
+    want = tables.documents.select("doc_id", T.capitalization(F.col("text")).alias("c"),
+                                   T.punctuation(F.col("text"), True).alias("ps"),
+                                   T.punctuation(F.col("text"), False).alias("pn"),
+                                   T.urls(F.col("text"), True).alias("h"), T.trim80(F.col("text")).alias("t80"),
+                                   T.whitespace_tokens(F.col("text")).alias("w")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    tod = spark.sql("SELECT event_id, tw_time_of_day(ts, 3) v FROM events_sqlfn").orderBy("event_id").collect()
+    tod2 = tables.events.select("event_id", TOD.time_of_day(F.col("ts"), 3).alias("v")).orderBy("event_id").collect()
+    assert [tuple(r) for r in tod] == [tuple(r) for r in tod2]
+    assert spark.sql("SELECT tw_emoji('a😀😀b🚀') e").collect()[0]["e"] == ["😀😀", "🚀"]
