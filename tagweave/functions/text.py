@@ -105,9 +105,10 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 # --- T15 ---------------------------------------------------------------------
-def token_counts(tokens: Column) -> Column:
+def token_counts(tokens: Column, key_type: str = "string") -> Column:
     """token -> count map in O(n log n) without a shuffle: sort the array and
-    measure the runs. Keys come out in sorted order."""
+    measure the runs. Keys come out in sorted order. ``key_type`` is the
+    element type (e.g. 'int' for hashed buckets, which sort faster)."""
     def body(s):
         n = F.size(s)
         starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -116,7 +117,7 @@ def token_counts(tokens: Column) -> Column:
             F.transform(st, lambda i: F.element_at(s, i)),
             F.zip_with(st, F.concat(F.slice(st, 2, F.greatest(n, F.lit(1))), F.array(n + 1)),
                        lambda a, b: (b - a).cast("bigint")))).otherwise(
-            F.create_map().cast("map<string,bigint>")))
+            F.create_map().cast(f"map<{key_type},bigint>")))
     return let(F.array_sort(tokens), body)
 
 

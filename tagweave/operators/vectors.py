@@ -47,9 +47,8 @@ def hashed_counts(df: DataFrame, id_col: str, tokens_col: str, n_features: int)
     """V1: feature hashing of token counts: (id, term=bucket, tf) with bucket =
     md5 bucket of the token in [0, n_features). Counts of tokens sharing a
     bucket add up (plain counts, all non-negative)."""
-    buckets = F.transform(F.col(tokens_col), lambda t: md5_bucket(t, n_features).cast("string"))
-    x = df.select(F.col(id_col).alias("id"), F.explode(token_counts(buckets)).alias("term", "tf"))
-    return x.select("id", F.col("term").cast("int").alias("term"), "tf")
+    buckets = F.transform(F.col(tokens_col), lambda t: md5_bucket(t, n_features))
+    return df.select(F.col(id_col).alias("id"), F.explode(token_counts(buckets, "int")).alias("term", "tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
