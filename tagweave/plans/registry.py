@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.plans.oracle_views import with_views
+from tagweave.session import ship_package
 from tagweave.sources.tables import Tables
 
 
@@ -28,6 +29,7 @@ def register(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Decorator: ``fn(tables: Tables) -> DataFrame`` becomes a registered query."""
     def deco(fn: Callable[[Tables], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, sf_dir))
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")

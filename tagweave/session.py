@@ -36,6 +36,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the checkpoint, not from round 0."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tagweave`` importable in the Python workers (pandas functions in
+    ``applyInPandas`` / ``mapInPandas`` refer to it) by zipping the package
+    once per application and adding it with ``addPyFile``; Spark distributes
+    it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    staging = tempfile.mkdtemp(prefix="tagweave-pyfiles-")
+    path = os.path.join(staging, "tagweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
