@@ -21,6 +21,19 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``stored``, dealt by ``key``, and known to be: later groupings by ``key``
+    don't shuffle it again. An adaptive plan doesn't tell its partitioning, so
+    this one is planned without."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_lineage(df.repartition(parts, key))
+    finally:
+        conf.set(name, was)
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z, and no other character, in lower case."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,6 +1,6 @@
 """Ask for facts about keys, in blocks, instead of shuffling a row for each key.
 
-A table is packed into blocks of about one megabyte. A block asks about its
+A table is packed into blocks of about two megabytes. A block asks about its
 distinct keys: they go, as sorted arrays, to the part of the key space they
 belong to. A part sorts what it got from all blocks, decides something for
 every key, and returns one byte for each, in the order asked. Every key crosses
@@ -20,10 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import parts_for, stored
+from tagweave.llm.common import parts_for, stored, stored_by
 
-BLOCK_BYTES = 1 << 20
-PART_BYTES = 12 << 20
+BLOCK_BYTES = 2 << 20
+#: Text whose keys meet in one part, and text in one Spark partition of blocks.
+PART_BYTES = 24 << 20
+DEALT_BYTES = 8 << 20
 
 REQUEST = "part long, block long, body binary"
 ANSWER = "block long, round int, part long, body binary"
@@ -40,7 +42,6 @@ def unpacked(payload: bytes) -> pa.Table:
 def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(block, payload) with all columns of ``df``, and the number of parts."""
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    parts = parts_for(size, PART_BYTES, 8)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sealed(t: pa.Table) -> pa.RecordBatch:
@@ -67,7 +68,7 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
             yield sealed(pa.Table.from_batches(held))
 
     packed = df.mapInArrow(pack, "payload binary").select(F.monotonically_increasing_id().alias("block"), "payload")
-    return stored(packed.repartition(parts, "block")), parts
+    return stored_by(packed, parts_for(size, DEALT_BYTES, 8), "block"), parts_for(size, PART_BYTES, 8)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -45,7 +45,7 @@ from pyspark.sql.types import StructType
 from tagweave.llm import exchange
 
 LENGTH = 50
-SLICE = 1 << 20
+SLICE = 1 << 16
 
 _U = np.uint64
 _NO_ID = np.iinfo(np.int64).max
@@ -85,64 +85,59 @@ def _identifiers(data: np.ndarray, q: int) -> np.ndarray:
     return _mixed(_windows(_BYTE[data], q, join))
 
 
-def _slices(data: np.ndarray, length: int):
-    """(first start, starts, identifiers from ``first start - q`` on) in slices of bounded memory."""
-    q, n = length // 2, len(data)
-    padded = np.full(n + 2 * q, 256, dtype=np.uint16)
-    padded[q:q + n] = data
-    for lo in range(0, n - length + 1, SLICE):
-        count = min(SLICE, n - length + 1 - lo)
-        yield lo, count, _identifiers(padded[lo:lo + count + length - 1 + 2 * q], q)
-
-
-def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: first start, last start, bucket identifier, identifier of all text of the run."""
-    q = length // 2
-    w = length - q + 1
-    out = []
-    for lo, count, ids in _slices(data, length):
-        at = np.arange(count + w - 1, dtype=np.uint64)
-        order = (ids[q:q + len(at)] & _U(0xFFFFFFFF00000000)) | at
-        anchor = (_windows(order, w, lambda a, b, _: np.minimum(a, b)) & _U(0xFFFFFFFF)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-        last = np.concatenate([first[1:] - 1, [count - 1]])
-        a = anchor[first]
-        before, here, after = ids[a], ids[a + q], ids[a + 2 * q]
-        out.append((first + lo, last + lo, _mixed(here ^ _M[2]), _mixed((before * _M[0] + here) * _M[2] + after * _M[3])))
-    if not out:
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _strings(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs and the identifier, a pair of bucket identifiers, of the string at each."""
-    q = length // 2
-    starts, keys = [], []
-    for lo, count, ids in _slices(data, length):
-        mark = np.zeros(count + 1, dtype=np.int64)
-        np.add.at(mark, np.clip(first - lo, 0, count), 1)
-        np.add.at(mark, np.clip(last + 1 - lo, 0, count), -1)
-        p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        starts.append(p + lo)
-        keys.append(_mixed((ids[p + q] * _M[2] + ids[p + length]) * _M[3]))
-    return np.concatenate(starts), np.concatenate(keys)
-
-
-def _bytes_of(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer((x or "").encode("utf-8", "surrogatepass"), dtype=np.uint8) for x in t.column("text").to_pylist()]
-
-
 class _Block:
-    """The anchors of a block's documents and what the rounds said of them."""
+    """The texts of a block one after the other, the anchors of their strings,
+    and what the rounds said of them. Places are offsets in ``buffer``, where
+    q values that are no byte stand before, between and after the texts."""
 
     def __init__(self, t: pa.Table, length: int):
-        self.data, self.length = _bytes_of(t), length
+        q = length // 2
+        self.length, self.q = length, q
+        self.data = [np.frombuffer((x or "").encode("utf-8", "surrogatepass"), dtype=np.uint8) for x in t.column("text").to_pylist()]
         self.ids = np.array([_NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], dtype=np.int64)
-        runs = [_anchors(x, length) for x in self.data]
-        self.row = np.repeat(np.arange(len(runs)), [len(x[0]) for x in runs])
-        cat = lambda i, t: np.concatenate([x[i] for x in runs]) if runs else np.empty(0, dtype=t)
+        sizes = np.array([len(x) for x in self.data], dtype=np.int64)
+        self.start = 2 * q + np.cumsum(sizes + q) - sizes - q
+        self.buffer = np.full(int((sizes + q).sum()) + 4 * q, 256, dtype=np.uint16)
+        for at, x in zip(self.start, self.data):
+            self.buffer[at:at + len(x)] = x
+        edge = np.zeros(len(self.buffer) + 1, dtype=np.int8)
+        whole = sizes >= length
+        edge[self.start[whole]] += 1
+        edge[(self.start + sizes - length + 1)[whole]] -= 1
+        self.valid = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        found = [self._anchors(lo, count) for lo, count in self._slices(self.valid)]
+        cat = lambda i, kind: np.concatenate([x[i] for x in found]) if found else np.empty(0, dtype=kind)
         self.first, self.last, self.bucket, self.context = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64), cat(3, np.uint64)
-        self.doc = self.ids[self.row] if len(runs) else np.empty(0, np.int64)
+        self.row = self._rows(self.first)
+        self.doc = self.ids[self.row]
+
+    def _rows(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, places, side="right") - 1
+
+    def _slices(self, wanted: np.ndarray):
+        """(lo, count) of the slices with a wanted start."""
+        for lo in range(self.q, len(wanted) - self.length - self.q + 1, SLICE):
+            count = min(SLICE, len(wanted) - self.length - self.q + 1 - lo)
+            if wanted[lo:lo + count].any():
+                yield lo, count
+
+    def _identifiers(self, lo: int, count: int) -> np.ndarray:
+        """The bucket identifiers from offset ``lo - q`` on, as far as the strings of the slice and q more bytes go."""
+        return _identifiers(self.buffer[lo - self.q:lo + count + self.length - 1 + self.q], self.q)
+
+    def _anchors(self, lo: int, count: int) -> tuple[np.ndarray, ...]:
+        """Runs of starts with one anchor: first start, last start, bucket identifier, identifier of all text of the run."""
+        q, ids = self.q, self._identifiers(lo, count)
+        at = np.arange(count + self.length - q, dtype=np.uint64)
+        order = (ids[q:q + len(at)] & _U(0xFFFFFFFF00000000)) | at
+        anchor = _windows(order, self.length - q + 1, lambda a, b, _: np.minimum(a, b))
+        p = np.flatnonzero(self.valid[lo:lo + count])
+        anchor = (anchor[p] & _U(0xFFFFFFFF)).astype(np.int64)
+        change = np.flatnonzero(anchor[1:] != anchor[:-1])
+        a = anchor[np.append(0, change + 1)]
+        before, here, after = ids[a], ids[a + q], ids[a + 2 * q]
+        return (p[np.append(0, change + 1)] + lo, p[np.append(change, len(p) - 1)] + lo,
+                _mixed(here ^ _M[2]), _mixed((before * _M[0] + here) * _M[2] + after * _M[3]))
 
     def buckets(self) -> np.ndarray:
         return np.unique(self.bucket)
@@ -174,15 +169,18 @@ class _Block:
         return gone, ~gone & ((said & 2) > 0)[number]
 
     def open_strings(self, still: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and identifier of every open string."""
-        rows, starts, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for r in np.unique(self.row[still]):
-            mine = still & (self.row == r)
-            s, k = _strings(self.data[r], self.first[mine], self.last[mine], self.length)
-            rows.append(np.full(len(s), r))
-            starts.append(s)
-            keys.append(k)
-        return np.concatenate(rows), np.concatenate(starts), np.concatenate(keys)
+        """Row, start and identifier, a pair of bucket identifiers, of every open string."""
+        edge = np.zeros(len(self.buffer) + 1, dtype=np.int32)
+        np.add.at(edge, self.first[still], 1)
+        np.add.at(edge, self.last[still] + 1, -1)
+        wanted = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        starts, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for lo, count in self._slices(wanted):
+            ids, p = self._identifiers(lo, count), np.flatnonzero(wanted[lo:lo + count])
+            starts.append(p + lo)
+            keys.append(_mixed((ids[p + self.q] * _M[2] + ids[p + 2 * self.q]) * _M[3]))
+        start = np.concatenate(starts)
+        return self._rows(start), start, np.concatenate(keys)
 
     def firsts(self, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         unique, inverse = np.unique(keys, return_inverse=True)
@@ -206,11 +204,12 @@ class _Block:
         out = []
         for r in range(len(self.data)):
             lo, hi = np.searchsorted(row, [r, r + 1])
-            b, e = begin[lo:hi], np.maximum.accumulate(end[lo:hi]) if hi > lo else end[lo:hi]
+            b, e = begin[lo:hi], np.maximum.accumulate(end[lo:hi])
             new = np.ones(len(b), dtype=bool)
             new[1:] = b[1:] > e[:-1]
             at = np.flatnonzero(new)
-            out.append(np.stack([b[at], e[np.append(at[1:], len(b)) - 1]], axis=1) if len(b) else np.empty((0, 2), np.int64))
+            runs = np.stack([b[at], e[np.append(at[1:], len(b)) - 1]], axis=1) if len(b) else np.empty((0, 2), np.int64)
+            out.append(runs - self.start[r])
         return out
 
 
