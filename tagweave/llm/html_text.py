@@ -139,7 +139,7 @@ def blocks(page: str | None) -> list[Block]:
         elif name not in VOID and name != "p" and not attrs.endswith("/"):
             _, outside, inside, hint = stack[-1]
             said = _hints(attrs) if attrs else 0
-            if name in MAIN and said >= 0:
+            if name in MAIN and said >= 0 and not (inside and (outside or hint < 0)):
                 outside, inside, hint = 0, 1, 0
             elif name in OUTSIDE or name == "header" and not inside:
                 outside = 1
@@ -172,19 +172,29 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
          '<section class="comments"><h3>{t1}</h3><p>{t25}</p><p>{t60}</p></section>', [0, 0, 0]),
         ('<form><label>{t3}</label></form><div class="sidebar"><p>{t20}</p></div>', [0, 0], '<div class="related">{l6}</div>', [0]),
         ('<ul><li>{l1}</li><li>{l2}</li><li>{l1}</li></ul>', [0, 0, 0], '<div>{l3}</div><p>{l5}</p>', [0, 0]),
+        ('<div>{t3}</div><p>{t5}</p><p>{t1}</p>', [0, 0, 0], '<div>{t4}</div><p>{t6}</p><div>{t2}</div>', [0, 0, 0]),
+    ]
+    # (opening, labels there, closing, labels there, whether anything marks the container)
+    inner = [
+        ("<article>", [], "</article>", [], 1), ("<main><h1>{t7}</h1>", [1], "</main>", [], 1),
+        ('<div class="content">', [], "</div>", [], 1), ("<div>", [], "</div>", [], 0), ("<table><tr><td>", [], "</td></tr></table>", [], 0),
+        ('<article><div class="ad">{t40}</div><ul><li>{l1}</li><li>{l4}</li></ul>', [0, 0, 0],
+         '<section class="comments"><p>{t50}</p><p>{t4}</p></section><footer>{t30}</footer></article>', [0, 0, 0], 1),
+        ('<main><aside>{t25}</aside><form><p>{t18}</p></form>', [0, 0], '<div class="share">{l3}</div></main>', [0], 1),
+        ('<div class="post"><div class="notice">{t60}</div>', [0], '<p>{l6}</p><div id="comments"><p>{t45}</p></div></div>', [0, 0], 1),
+        ("<div><p>{l20}</p>", [0], "<p>{l40}</p></div>", [0], 0),
     ]
-    inner = [("<article>", "</article>", 1), ("<main><h1>{t7}</h1>", "</main>", 1), ('<div class="content">', "</div>", 1), ("<div>", "</div>", 0)]
     lengths = [(1, 40, 3), (80, 120, 60), (15, 2, 200), (300,), (6, 35, 1, 28)]
-    fill = {f"t{n}": w(n) for n in range(1, 61)} | {f"l{n}": a(n) for n in range(1, 7)}
+    fill = {f"t{n}": w(n) for n in range(1, 61)} | {f"l{n}": a(n) for n in range(1, 41)}
     out = []
     for before, b, after, c in around:
-        for start, end, marked in inner:
+        for start, s, end, e, marked in inner:
             for ns in lengths:
-                if not marked and min(ns) < 15:      # short text outside any marked container isn't the article
-                    ns = tuple(n if n >= 15 else 15 + n for n in ns)
+                if not marked:      # unmarked short text belongs to the article between long blocks only
+                    ns = (30, *ns, 30)
                 body = "".join(f"<p>{w(n)}</p>" for n in ns)
-                labels = [*b, *([1] if "<h1>" in start else []), *[1] * len(ns), *c]
-                out.append((before.format(**fill) + start.format(**fill) + body + end + after.format(**fill), labels))
+                page = "".join((before, start, "{body}", end, after)).format(body=body, **fill)
+                out.append((page, [*b, *s, *[1] * len(ns), *e, *c]))
     return out
 
 
