@@ -42,7 +42,7 @@ def test_edge_rows(edge_docs, edge_rows, tokenizer, monkeypatch):
 
 
 def test_slices_and_cache_do_not_change_ids(edge_rows, tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE", 50)
+    monkeypatch.setattr(packing, "SLICE", 7)
     enc = packing.WordIds(None, cache_words=20)
     for _, text, *_ in edge_rows:
         assert enc.encode(text).tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
