@@ -72,10 +72,11 @@ def untagged_sample(views, tagged: DataFrame, sources: Sequence[int], langs: Seq
             .join(lang, data.id == lang.data_id)
             .join(txt, data.id == txt.t_data_id)
             .select(data.id, "language"))
+    # NOT IN (tagged): ids are never null, so a plain anti join (no null-aware
+    # plan); before the bags, so that the table is shuffled once, not once a bag.
+    pool = pool.join(tagged.select("id").distinct(), "id", "left_anti")
     pool = _bags(pool, n_bags)
     pool = pool.where(hash01(seed, F.col("bag_id"), F.col("id")) < fraction)
-    # NOT IN (tagged): ids are never null, so a plain anti join (no null-aware plan).
-    pool = pool.join(tagged.select("id").distinct(), "id", "left_anti")
     w = Window.partitionBy("bag_id").orderBy(md5_order(seed, F.col("bag_id"), F.col("id")), "id", "language")
     return (pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= num_samples)
             .drop("rn").withColumn("tag_id", F.lit(None).cast("int")))

@@ -82,6 +82,12 @@ class Views:
                         F.concat(F.lit("page"), F.pmod(pid, F.lit(2)).cast("string")).alias("page"),
                         F.to_json(F.struct(F.col("text").alias("message"))).alias("comment"))
 
+    def comments_with_language(self) -> DataFrame:
+        """The comments with the language their platform gave them."""
+        d = self.t.documents
+        return d.select(F.pmod("doc_id", F.lit(150)).alias("post_id"), F.col("lang").alias("language"),
+                        F.to_json(F.struct(F.col("text").alias("message"))).alias("comment"))
+
     # --- articles ---------------------------------------------------------------
     def abstracts(self) -> DataFrame:
         d = self.t.documents
@@ -132,10 +138,14 @@ class Views:
         return a.unionByName(b)
 
     def tagset_tags(self) -> DataFrame:
-        return self.t.spark.createDataFrame([(1, "good"), (1, "bad"), (2, "toxic")], "tagset_id int, tag string")
+        """(tagset_id, tag): a tagset for each order status, its tags the priorities that its orders have."""
+        o = self.t.orders
+        return o.select(F.col("o_orderstatus").alias("tagset_id"), F.col("o_orderpriority").alias("tag"))
 
     def user_tagset(self) -> DataFrame:
-        return self.t.spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "user_id int, tagset_id int")
+        """(user_id, tagset_id): the tagsets of the orders a customer has."""
+        o = self.t.orders
+        return o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("tagset_id")).distinct()
 
     def grants(self) -> DataFrame:
         """Sources a user may read: the sources of the documents behind the user's events."""

@@ -54,12 +54,14 @@ def run_available_now(stream: DataFrame, name: str, checkpoint: str):
 
 def predict_stream(lens, stream: DataFrame, out_path: str, checkpoint: str, trigger_available_now: bool = True):
     """Tag a stream of rows (id, sample_text, fingerprint, time) with a static
-    lens: every micro-batch is predicted as a batch and appended as parquet."""
+    lens. Every micro-batch is predicted as a batch and written to a folder of
+    its own, ``epoch=<n>``: a batch that is replayed after a failure replaces its
+    rows. Rows don't depend on what else is in their batch."""
     from tagweave.operators import lens as L
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         _, win = L.predict(lens, df)
-        win.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
+        win.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
