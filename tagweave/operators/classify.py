@@ -15,6 +15,8 @@ not by a cross join.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,39 +163,65 @@ def predict_centroids(x: DataFrame, ids: DataFrame, centroids: DataFrame) -> Dat
 
 
 # --- M17 k nearest neighbours ---------------------------------------------------------------------
+TEST_BLOCK, TRAIN_BLOCK = 512, 2048
+
+
 def knn_cosine(test: DataFrame, train: DataFrame, k: int = 10, test_ids: DataFrame | None = None,
                train_ids: DataFrame | None = None) -> DataFrame:
-    """M17 neighbours by cosine similarity of L2-normalised sparse vectors:
-    (id, nid, sim, rank), exactly k per test id (if train has k rows).
-
-    Pairs sharing a term come from an inverted-index join (term -> rows), and
-    the top k per id are kept (a per-id group limit). Pairs sharing no term
-    have similarity 0 and are all tied; a brute-force search breaking ties by
-    index would fill the remaining places with the lowest train ids. If an id
-    has m < k positive neighbours, those are all its positive neighbours, so
-    its fill lies within the k + m <= 2k lowest train ids: that small list is
-    the only candidate set for the fill. No pair is dropped by a cap.
-    ``test_ids`` / ``train_ids`` list rows whose vector may be empty (all
-    terms filtered out); such rows have similarity 0 to everything."""
-    test = cut_lineage(test.select("id", "term", "value"))       # each read more than once
-    train = cut_lineage(train.select("id", "term", "value"))
-    tr = train.select(F.col("id").alias("nid"), "term", F.col("value").alias("v2"))
-    sims = test.join(tr, "term").groupBy("id", "nid").agg(F.sum(F.col("value") * F.col("v2")).alias("sim")) \
-        .where(F.col("sim") > 1e-12)
+    """M17 neighbours by cosine similarity of L2-normalised sparse vectors (id,
+    term, value): (id, nid, sim, rank), exactly k per test id (if train has k
+    rows), similarities rounded to 9 digits before they are ranked, ties to the
+    lowest train id. Exact: a product of blocks.
+
+    Test and train rows are dealt into blocks of about ``TEST_BLOCK`` and
+    ``TRAIN_BLOCK`` vectors, packed as arrays; each pair of blocks is one
+    co-grouped task that multiplies them in numpy (terms matched by sorted search,
+    products summed into a block-sized matrix) and keeps the best k of each test
+    row. No pair of rows is ever shuffled; a test row ships k candidates a
+    train block. ``test_ids`` / ``train_ids`` list rows whose vector may be empty;
+    their similarity is 0 to everything. Terms are compared by 64-bit hash."""
+    def packed(x: DataFrame, ids: DataFrame | None, side: str, block: int, other: int) -> DataFrame:
+        rows = x.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("value").alias("v")))).alias("e"))
+        if ids is not None:
+            rows = ids.select("id").distinct().join(rows, "id", "left")
+        out = rows.select("id", F.transform("e", lambda x: x["t"]).alias("t"), F.transform("e", lambda x: x["v"]).alias("v"))
+        # Named anew, so that both sides may come from one table.
+        out = out.select(*[F.col(c).alias(c) for c in ("id", "t", "v")]).withColumn(side, F.pmod(F.xxhash64("id"), F.lit(block)).cast("int"))
+        return out.withColumn("b" if side == "a" else "a", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    n_test = (test_ids if test_ids is not None else test).select("id").distinct().count()
+    n_train = (train_ids if train_ids is not None else train).select("id").distinct().count()
+    na, nb = max(1, -(-n_test // TEST_BLOCK)), max(1, -(-n_train // TRAIN_BLOCK))
+
+    def flat(f: pd.DataFrame):
+        terms = [np.asarray(t if t is not None else [], dtype=np.int64) for t in f["t"]]
+        vals = [np.asarray(v if v is not None else [], dtype=float) for v in f["v"]]
+        row = np.repeat(np.arange(len(f)), [len(t) for t in terms])
+        return row, np.concatenate([*terms, np.empty(0, np.int64)]), np.concatenate([*vals, np.empty(0)])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("id"), right.sort_values("id")
+        row, term, val = flat(left)
+        nrow, nterm, nval = flat(right)
+        order = np.argsort(nterm, kind="stable")
+        nrow, nterm, nval = nrow[order], nterm[order], nval[order]
+        sim = np.zeros(len(left) * len(right))
+        lo, hi = np.searchsorted(nterm, term, "left"), np.searchsorted(nterm, term, "right")
+        for at in range(0, len(term), 4096):            # bounded expansion of matching entries
+            cut = slice(at, at + 4096)
+            size = hi[cut] - lo[cut]
+            j = np.repeat(lo[cut] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            sim += np.bincount(np.repeat(row[cut], size) * len(right) + nrow[j], np.repeat(val[cut], size) * nval[j], len(sim))
+        sim = np.round(sim.reshape(len(left), len(right)), 9)
+        sim[sim <= 1e-12] = 0.0
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), top.shape[1]), "nid": right["id"].to_numpy()[top].ravel(),
+                             "sim": np.take_along_axis(sim, top, axis=1).ravel()})
+
+    pairs = packed(test, test_ids, "a", na, nb).groupBy("a", "b").cogroup(
+        packed(train, train_ids, "b", nb, na).groupBy("a", "b")).applyInPandas(best, "id long, nid long, sim double")
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "nid")
-    pos = sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    tr_ids = (train_ids if train_ids is not None else train).select("id").distinct()
-    te_ids = (test_ids if test_ids is not None else test).select("id").distinct()
-    low = [r[0] for r in tr_ids.orderBy("id").limit(2 * k).collect()]   # 2k ids
-    n_pos = pos.groupBy("id").agg(F.count(F.lit(1)).alias("np"))
-    need = te_ids.join(n_pos, "id", "left") \
-        .select("id", F.coalesce("np", F.lit(0)).alias("np")).where(F.col("np") < k)
-    cand = need.withColumn("nid", F.explode(F.array(*[F.lit(x) for x in low]))) \
-        .join(pos.select("id", "nid"), ["id", "nid"], "left_anti")
-    wf = Window.partitionBy("id").orderBy("nid")
-    fill = cand.withColumn("r", F.row_number().over(wf)).where(F.col("r") <= F.lit(k) - F.col("np")) \
-        .select("id", "nid", F.lit(0.0).alias("sim"), (F.col("np") + F.col("r")).alias("rank"))
-    return pos.select("id", "nid", "sim", "rank").unionByName(fill)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_vote(neigh: DataFrame, train_labels: DataFrame, label_col: str = "label") -> DataFrame:

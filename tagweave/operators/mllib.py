@@ -4,12 +4,12 @@ Features are Spark ML stages (regex tokenizer -> stop words -> hashing ->
 idf), models are Spark ML estimators where one exists. Two online learners
 the reference uses have no MLlib counterpart — the perceptron and the
 passive-aggressive classifier — and are trained by iterative parameter
-mixing (McDonald, Hall & Mann, NAACL 2010): rows are split into a fixed
-number of hash shards (independent of the physical partitioning, so the
-result does not depend on it); every round each shard runs one epoch from
-the current weights inside one ``applyInPandas`` group, and the shards'
-weights are averaged. The weight matrix is classes x features — a bound set
-by the parameters — and is broadcast each round.
+mixing (McDonald, Hall & Mann, NAACL 2010): rows are split into hash shards of
+bounded size, whose number follows the rows and not the physical partitioning;
+every round each shard runs one epoch from the current weights inside one
+``applyInPandas`` group and returns the weights it changed, which are averaged
+by a Spark aggregate. The weight matrix is classes x features — a bound set by
+the parameters — and is broadcast each round.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import (IDF, Binarizer, CountVectorizer, HashingTF, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer,
+                                VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -47,6 +48,22 @@ def feature_stages(n_features: int = 4096, text_col: str = "text", ngram_sql: st
     return st
 
 
+def count_stages(min_df: float, max_df: float, text_col: str = "text") -> list:
+    """V3: counts of words by document share, and their idf."""
+    return [RegexTokenizer(inputCol=text_col, outputCol="words", pattern=WORD_PATTERN, gaps=False),
+            CountVectorizer(inputCol="words", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=1 << 20),
+            IDF(inputCol="features", outputCol="weighted")]
+
+
+def sublinear_rows(counts: DataFrame, idf, *keep: str) -> DataFrame:
+    """V5: (id, ..., idx, val) of (id, features = counts): (1 + ln tf) x idf, L2.
+    ``idf`` has an entry for each term of the fitted vocabulary."""
+    weight = F.array(*[F.lit(float(x)) for x in idf]) if len(idf) else F.array().cast("array<double>")
+    raw = let(weight, lambda w: F.zip_with("idx", "val", lambda i, v: (F.lit(1.0) + F.log(v)) * F.get(w, i)))
+    x = sparse_rows(counts, *keep).withColumn("val", raw)
+    norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, v: a + v * v))
+    return x.withColumn("norm", norm).withColumn("val", F.transform("val", lambda v: v / F.col("norm"))).drop("norm")
+
 # n-gram range as SQL over the token array: (1, 1) or (1, 2) (guarded: a
 # one-token array has no bigram).
 NGRAM_SQL = {
@@ -70,16 +87,27 @@ def accuracy(pred: DataFrame, label_col: str = "y") -> float:
 @dataclass
 class OnlineParams:
     kind: str = "perceptron"       # or "pa"
-    n_iter: int = 10
-    n_shards: int = 8
+    n_iter: int = 50
+    shard_rows: int = 5000
     C: float = 1.0
     seed: int = 3
 
 
+def sparse_rows(x: DataFrame, *keep: str) -> DataFrame:
+    """(id, ..., idx, val) of (id, features): the non-zero entries as arrays (rows that have them already stay)."""
+    if "idx" in x.columns:
+        return x.select("id", *keep, "idx", "val")
+    entries = let(vector_to_array("features"), lambda d: F.filter(
+        F.transform(d, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0))
+    return x.select("id", *keep, entries.alias("e")).select(
+        "id", *keep, F.transform("e", lambda e: e["i"]).alias("idx"), F.transform("e", lambda e: e["v"]).alias("val"))
+
+
 def _epoch_fn(kind: str, n_classes: int, dim: int, C: float, bc):
     def epoch(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = bc.value.copy()                          # (classes, dim + 1), last column = bias
-        pdf = pdf.sort_values("order", kind="stable")
+        start = bc.value
+        w = start.copy()                             # (classes, dim + 1), last column = bias
+        pdf = pdf.sort_values(["order", "id"], kind="stable")
         for idx, val, y in zip(pdf["idx"], pdf["val"], pdf["y"]):
             idx = np.asarray(idx, dtype=int)
             val = np.asarray(val, dtype=float)
@@ -95,52 +123,55 @@ def _epoch_fn(kind: str, n_classes: int, dim: int, C: float, bc):
             if nz.any():
                 w[np.ix_(nz, idx)] += np.outer(upd[nz], val)
                 w[nz, dim] += upd[nz]
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "w": [w.ravel()]})
+        delta = w - start
+        k, i = np.nonzero(delta)
+        return pd.DataFrame({"k": k, "i": i, "d": delta[k, i]})
     return epoch
 
 
 def fit_online(data: DataFrame, n_classes: int, dim: int, p: OnlineParams) -> np.ndarray:
     """OvR perceptron / passive-aggressive by iterative parameter mixing.
-    ``data``: (id, features SparseVector, y index)."""
-    spark = data.sparkSession
-    sparse = let(vector_to_array("features"), lambda d: F.struct(
-        F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: F.element_at(d, i + 1) != 0).alias("idx"),
-        d.alias("d")))
-    rows = data.select(
-        F.pmod(F.xxhash64("id"), F.lit(p.n_shards)).cast("int").alias("shard"),
-        F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("id").cast("string"))).alias("order"),
-        F.col("y").cast("int").alias("y"), sparse.alias("sp"))
-    rows = rows.select("shard", "order", "y", F.col("sp.idx").alias("idx"),
-                       F.transform("sp.idx", lambda i: F.element_at(F.col("sp.d"), i + 1)).alias("val"))
+    ``data``: (id, features SparseVector, y index). Stops early when a round
+    changes nothing."""
     from tagweave.session import cut_lineage
-    rows = cut_lineage(rows)
+    spark = data.sparkSession
+    rows = cut_lineage(sparse_rows(data.withColumn("y", F.col("y").cast("int")), "y").withColumn(
+        "order", F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("id").cast("string")))))
+    shards = max(1, -(-rows.count() // p.shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     w = np.zeros((n_classes, dim + 1))
     for _ in range(p.n_iter):
         bc = spark.sparkContext.broadcast(w)
-        out = rows.groupBy("shard").applyInPandas(_epoch_fn(p.kind, n_classes, dim, p.C, bc), "shard int, w array<double>")
-        ws = [np.asarray(r["w"]).reshape(n_classes, dim + 1) for r in out.collect()]   # n_shards matrices
-        w = np.mean(ws, axis=0)
+        moved = rows.groupBy("shard").applyInPandas(_epoch_fn(p.kind, n_classes, dim, p.C, bc), "k int, i int, d double")
+        # At most classes x features rows; summed in order, so that a rerun agrees.
+        found = moved.groupBy("k", "i").agg(F.array_sort(F.collect_list("d")).alias("ds")).collect()
+        w = w.copy()
+        for r in found:
+            w[r["k"], r["i"]] += sum(r["ds"]) / shards
         bc.unpersist()
+        if not found:
+            break
     return w
 
 
 def predict_online(data: DataFrame, w: np.ndarray) -> DataFrame:
-    """(id, prediction index) = argmax_k w_k . x + b_k, in Arrow batches."""
-    spark = data.sparkSession
-    bc = spark.sparkContext.broadcast(w)
+    """(id, prediction index) = argmax_k w_k . x + b_k, in sparse Arrow batches."""
+    bc = data.sparkSession.sparkContext.broadcast(w)
     dim = w.shape[1] - 1
 
     def score(batches):
-        ww = bc.value
+        ww = np.ascontiguousarray(bc.value[:, :dim].T)
+        bias = bc.value[:, dim]
         for pdf in batches:
-            preds = []
-            for v in pdf["dense"]:
-                x = np.asarray(v, dtype=float)
-                preds.append(int(np.argmax(ww[:, :dim] @ x + ww[:, dim])))
-            yield pd.DataFrame({"id": pdf["id"], "prediction": np.array(preds, dtype=float)})
+            size = np.array([len(v) for v in pdf["idx"]], dtype=int)
+            s = np.tile(bias, (len(pdf), 1))
+            if size.sum():
+                part = ww[np.concatenate(pdf["idx"].to_list()).astype(int)] * np.concatenate(pdf["val"].to_list())[:, None]
+                some = np.flatnonzero(size)
+                s[some] += np.add.reduceat(part, np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
+            yield pd.DataFrame({"id": pdf["id"], "prediction": s.argmax(axis=1).astype(float)})
 
-    return data.select("id", vector_to_array("features").alias("dense")).mapInPandas(
-        score, "id long, prediction double")
+    return sparse_rows(data).mapInPandas(score, "id long, prediction double")
 
 
 # --- M14 ridge classifier -------------------------------------------------------------------------------
@@ -163,35 +194,73 @@ def predict_ridge(test: DataFrame, models) -> DataFrame:
 
 
 # --- M20 comparison ------------------------------------------------------------------------------------------
-def compare(train: DataFrame, test: DataFrame, n_classes: int, dim: int, names: list[str] | None = None) -> DataFrame:
+def long_vectors(x: DataFrame, unit: bool = True) -> DataFrame:
+    """(id, term, value) of (id, features), L2-normalised."""
+    v = sparse_rows(x).select("id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select(
+        "id", F.col("e.idx").alias("term"), F.col("e.val").alias("value"))
+    if not unit:
+        return v
+    norm = v.groupBy("id").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("nr"))
+    return v.join(norm, "id").select("id", "term", (F.col("value") / F.col("nr")).alias("value"))
+
+
+def l1_select(train: DataFrame, reg: float = 1e-3) -> VectorSlicer:
+    """The features to which an l1 logistic regression gives a weight."""
+    coef = LogisticRegression(labelCol="y", regParam=reg, elasticNetParam=1.0, maxIter=50).fit(train).coefficientMatrix.toArray()
+    keep = [int(i) for i in (abs(coef).sum(axis=0) > 0).nonzero()[0]] or [0]
+    return VectorSlicer(inputCol="features", outputCol="sel", indices=keep)
+
+
+#: The runs of the comparison, in the reference's order.
+RUNS = ("ridge", "perceptron", "passive_aggressive", "knn", "random_forest", "linear_svc_l2", "sgd_l2", "linear_svc_l1",
+        "sgd_l1", "sgd_elasticnet", "nearest_centroid", "multinomial_nb", "bernoulli_nb", "l1_select_svc")
+
+
+def _run(name: str, train: DataFrame, n_classes: int, dim: int, n_iter: int):
+    """Fit one classifier; returns a function from test rows to (y, prediction)."""
+    from tagweave.operators import classify as C
+    svc = lambda col="features": OneVsRest(classifier=LinearSVC(regParam=1e-3, tol=1e-3, maxIter=50, featuresCol=col),
+                                           labelCol="y", featuresCol=col, parallelism=4)
+    logistic = lambda reg, l1: LogisticRegression(labelCol="y", regParam=reg, elasticNetParam=l1, maxIter=50)
+    est = {"random_forest": lambda: RandomForestClassifier(labelCol="y", numTrees=100, seed=7),
+           "linear_svc_l2": svc, "linear_svc_l1": lambda: logistic(1e-3, 1.0),
+           "sgd_l2": lambda: logistic(1e-4, 0.0), "sgd_l1": lambda: logistic(1e-4, 1.0), "sgd_elasticnet": lambda: logistic(1e-4, 0.15),
+           "multinomial_nb": lambda: NaiveBayes(labelCol="y", smoothing=0.01, modelType="multinomial")}
+    if name in est:
+        return est[name]().fit(train).transform
+    if name == "ridge":
+        models = fit_ridge(train, n_classes)
+        return lambda te: predict_ridge(te, models)
+    if name in ("perceptron", "passive_aggressive"):
+        w = fit_online(train, n_classes, dim, OnlineParams(kind="pa" if name[1] == "a" else name, n_iter=n_iter))
+        return lambda te: predict_online(te, w).join(te.select("id", "y"), "id")
+    if name == "bernoulli_nb":
+        binary = Binarizer(inputCol="features", outputCol="bits", threshold=0.0)
+        model = NaiveBayes(labelCol="y", featuresCol="bits", smoothing=0.01, modelType="bernoulli").fit(binary.transform(train))
+        return lambda te: model.transform(binary.transform(te))
+    if name == "l1_select_svc":
+        sel = l1_select(train)
+        model = svc("sel").fit(sel.transform(train))
+        return lambda te: model.transform(sel.transform(te))
+    lab = train.select("id", F.col("y").alias("label"))
+    if name == "knn":
+        return lambda te: C.knn_vote(C.knn_cosine(long_vectors(te), long_vectors(train), 10, test_ids=te, train_ids=train), lab) \
+            .join(te.select("id", "y"), "id")
+    mu = C.fit_centroids(long_vectors(train), lab)
+    return lambda te: C.argmax(C.predict_centroids(long_vectors(te), te, mu)).join(te.select("id", "y"), "id")
+
+
+def compare(train: DataFrame, test: DataFrame, n_classes: int, dim: int, names: tuple = RUNS, n_iter: int = 50) -> DataFrame:
     """(name, accuracy, train_sec, test_sec, train_norm, test_norm) for
     each classifier; times normalised by the largest. A driver loop over
     distributed fits (one row per classifier)."""
     spark = train.sparkSession
-    est = {
-        "linear_svc_l2": lambda: OneVsRest(classifier=LinearSVC(regParam=1e-3, tol=1e-3, maxIter=50),
-                                           labelCol="y"),
-        "sgd_elasticnet": lambda: LogisticRegression(labelCol="y", regParam=1e-4, elasticNetParam=0.15, maxIter=50),
-        "logreg_l1": lambda: LogisticRegression(labelCol="y", regParam=1e-3, elasticNetParam=1.0, maxIter=50),
-        "random_forest": lambda: RandomForestClassifier(labelCol="y", numTrees=100, seed=7),
-        "multinomial_nb": lambda: NaiveBayes(labelCol="y", smoothing=0.01, modelType="multinomial"),
-    }
     rows = []
-    for name in names or list(est) + ["ridge", "perceptron", "passive_aggressive"]:
+    for name in names:
         t0 = time.perf_counter()
-        if name in est:
-            model = est[name]().fit(train)
-            t1 = time.perf_counter()
-            acc = accuracy(model.transform(test))
-        elif name == "ridge":
-            models = fit_ridge(train, n_classes)
-            t1 = time.perf_counter()
-            acc = accuracy(predict_ridge(test, models))
-        else:
-            kind = "perceptron" if name == "perceptron" else "pa"
-            w = fit_online(train, n_classes, dim, OnlineParams(kind=kind, n_iter=5))
-            t1 = time.perf_counter()
-            acc = accuracy(predict_online(test, w).join(test.select("id", "y"), "id"))
+        predict = _run(name, train, n_classes, dim, n_iter)
+        t1 = time.perf_counter()
+        acc = accuracy(predict(test))
         t2 = time.perf_counter()
         rows.append((name, acc, t1 - t0, t2 - t1))
     mt = max(r[2] for r in rows) or 1.0
@@ -220,23 +289,27 @@ def grid_search_ngrams(train: DataFrame, n_features: int = 4096, folds: int = 3,
 
 # --- S8 labelled text folders ------------------------------------------------------------------------------
 def write_class_folders(df: DataFrame, text_col: str, class_col: str, path: str) -> None:
-    """Lay out a corpus as one folder per class (``path/<class>/part-*``):
-    each text file holds one document (partitioned text output)."""
-    df.select(F.col(class_col).alias("cls"), F.col(text_col).alias("value")).write.mode("overwrite") \
-        .partitionBy("cls").text(path)
-
-
-def read_class_folders(spark, path: str) -> DataFrame:
-    """Every file under ``path/<class>/`` as (text, class_name, class_id);
-    class ids follow the sorted folder names."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"),
-                                                      F.col("_metadata.file_path").alias("file"))
-    cls = F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)
-    out = raw.select("text", F.regexp_replace(cls, "^cls=", "").alias("class_name"))
-    ids = out.select("class_name").distinct()
+    """Lay out a corpus as one folder per class (``path/cls=<class>/``). A file
+    holds many documents, one JSON string a line, so line feeds inside a document
+    are safe and the number of files doesn't follow the number of documents."""
+    df.select(F.col(class_col).alias("cls"), F.to_json(F.struct(F.col(text_col).alias("t"))).alias("value")) \
+        .write.mode("overwrite").partitionBy("cls").text(path)
+
+
+def read_class_folders(spark, path: str, whole_files: bool = False) -> DataFrame:
+    """The documents under ``path`` as (text, class_name, class_id); class ids
+    follow the sorted folder names. ``whole_files``: folders ``path/<class>/`` with
+    one plain document per file, as the reference has them."""
+    if whole_files:
+        raw = spark.read.text(f"{path}/*/*", wholetext=True)
+        out = raw.select(F.col("value").alias("text"), F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)).alias("class_name"))
+    else:
+        raw = spark.read.schema("value string, cls string").text(path)
+        out = raw.select(F.from_json("value", "t string")["t"].alias("text"), F.col("cls").alias("class_name"))
     from pyspark.sql import Window
+    ids = out.select("class_name").distinct()      # one row per class
     ids = ids.select("class_name", (F.dense_rank().over(Window.orderBy("class_name")) - 1).alias("class_id"))
-    return out.join(F.broadcast(ids), "class_name")      # one row per class
+    return out.join(F.broadcast(ids), "class_name")
 
 
 # --- S16 model files ----------------------------------------------------------------------------------------

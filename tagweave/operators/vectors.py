@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,20 +153,35 @@ def dense_block(x: DataFrame, width: int) -> DataFrame:
 
 # --- V7 truncated SVD ---------------------------------------------------------------
 def gram_matrix(x: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """V7: Gram matrix X^T X as (groups..., i, j, g): a self-join of each row's
-    entries (at most width^2 pairs per row) summed over rows."""
-    a = x.select(*group_cols, "id", F.col("term").alias("i"), F.col("value").alias("vi"))
-    b = x.select(*group_cols, "id", F.col("term").alias("j"), F.col("value").alias("vj"))
-    return a.join(b, [*group_cols, "id"]).groupBy(*group_cols, "i", "j").agg(
-        F.sum(F.col("vi") * F.col("vj")).alias("g"))
+    """V7: Gram matrix X^T X as (groups..., i, j, g): every task sums its rows into
+    one width x width table, and the tables are added up."""
+    group_cols = list(group_cols)
+    rows = x.groupBy(*group_cols, "id").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("e")).select(
+        *group_cols, F.transform("e", lambda e: e["term"]).alias("t"), F.transform("e", lambda e: e["value"]).alias("v"))
+
+    def partial(batches):
+        sums: dict = {}                     # (groups, i) -> {j: sum}, at most width^2 a group
+        for b in batches:
+            for row in b.itertuples(index=False):
+                *g, t, v = row
+                t, v = np.asarray(t), np.asarray(v, dtype=float)
+                m = sums.setdefault(tuple(g), {})
+                for i, vi in zip(t, v):
+                    own = m.setdefault(i, {})
+                    for j, p in zip(t, vi * v):
+                        own[j] = own.get(j, 0.0) + p
+        for g, m in sums.items():
+            yield pd.DataFrame([(*g, i, j, s) for i, own in m.items() for j, s in own.items()], columns=[*group_cols, "i", "j", "g"])
+
+    kinds = dict(x.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in group_cols], f"i {kinds['term']}", f"j {kinds['term']}", "g double"])
+    return rows.mapInPandas(partial, schema).groupBy(*group_cols, "i", "j").agg(F.sum("g").alias("g"))
 
 
 def svd_basis(gram_rows: list, width: int, k: int) -> np.ndarray:
     """Top-k right singular vectors from a (small) Gram matrix: eigenvectors of
     X^T X by decreasing eigenvalue, sign fixed so that the largest-magnitude
     entry is positive. ``width`` is bounded by MAX_GRAM_DIM."""
-    if width > MAX_GRAM_DIM:
-        raise ValueError(f"Gram matrix of width {width} exceeds {MAX_GRAM_DIM}; use svd_distributed")
     g = np.zeros((width, width))
     for r in gram_rows:
         g[int(r["i"]), int(r["j"])] = r["g"]
@@ -192,9 +208,11 @@ def project(x: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def truncated_svd(x: DataFrame, width: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """V7 for widths up to MAX_GRAM_DIM: fit on x (Gram matrix, small
-    eigenproblem on the driver), transform x. Returns (projected long form,
-    basis). Wider inputs: ``svd_distributed``."""
+    """V7: fit on x, transform x; (projected long form, basis). Up to
+    ``MAX_GRAM_DIM`` columns by the Gram matrix and a small eigenproblem on the
+    driver, wider ones by ``svd_distributed``; both give the same basis."""
+    if width > MAX_GRAM_DIM:
+        return svd_distributed(x, width, k)
     rows = gram_matrix(x).collect()           # at most width^2 rows
     v = svd_basis(rows, width, k)
     return project(x, basis_table(x.sparkSession, v)), v
@@ -202,8 +220,8 @@ def truncated_svd(x: DataFrame, width: int, k: int) -> tuple[DataFrame, np.ndarr
 
 def svd_distributed(x: DataFrame, width: int, k: int):
     """V7 / V8 for wide inputs (fingerprints, 16,384 columns): MLlib's
-    distributed ``RowMatrix.computeSVD`` on sparse rows. Returns (ids, U*S
-    rows as DataFrame (id, term, value), V as numpy)."""
+    distributed ``RowMatrix.computeSVD`` on sparse rows. Returns (the projected
+    rows (id, term, value), V as numpy)."""
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
     rows = x.groupBy("id").agg(F.collect_list(F.struct(F.col("term").cast("int").alias("t"), "value")).alias("e"))
@@ -211,7 +229,7 @@ def svd_distributed(x: DataFrame, width: int, k: int):
         width, sorted((e["t"], e["value"]) for e in r["e"]))))
     mat = IndexedRowMatrix(rdd)
     svd = mat.computeSVD(k, computeU=False)
-    v = svd.V.toArray()
+    v = np.array(svd.V.toArray())
     for c in range(v.shape[1]):
         m = np.argmax(np.abs(v[:, c]))
         if v[m, c] < 0:
@@ -233,9 +251,10 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # --- V8 PCA ------------------------------------------------------------------------------------------
-def pca_sparse(x: DataFrame, width: int, k: int, rounds: int = 15, seed: int = 0):
+def pca_sparse(x: DataFrame, width: int, k: int, rounds: int = 100, seed: int = 0, tol: float = 1e-4):
     """V8: centred PCA of sparse rows (id, term, value) of a given width, by
-    subspace iteration. Each round multiplies by the centred data without
+    subspace iteration, until the leading k directions move by less than ``tol``
+    (or ``rounds``). Each round multiplies by the centred data without
     forming it: (X - 1 mu^T) V = XV - 1 (mu^T V) and
     (X - 1 mu^T)^T Y = X^T Y - mu (1^T Y); both products are a join with a
     broadcast width x k table (bounded by the width) and a sum. Returns
@@ -273,15 +292,20 @@ def pca_sparse(x: DataFrame, width: int, k: int, rounds: int = 15, seed: int = 0
         for r in y.groupBy("comp").agg(F.sum("y").alias("s")).collect():
             sy[int(r["comp"])] = r["s"]
         z = xty - np.outer(mu, sy)
+        before = v
         v, _ = np.linalg.qr(z)
-    # Rayleigh-Ritz: order the basis by variance.
-    y = mult(v)
+        # Sines of the angles between the old and new leading directions.
+        moved = v[:, :k_out] - before @ (before.T @ v[:, :k_out])
+        if np.abs(moved).max() < tol:
+            break
+    # Rayleigh-Ritz: order the basis by variance; Y'Y is a k x k aggregate.
+    y = cut_lineage(mult(v))
+    pair = y.select("id", F.col("comp").alias("i"), F.col("y").alias("yi")).join(
+        y.select("id", F.col("comp").alias("j"), F.col("y").alias("yj")), "id")
     yy = np.zeros((k, k))
-    ymat = {}
-    for r in y.collect():
-        ymat.setdefault(r["id"], np.zeros(k))[int(r["comp"])] = r["y"]
-    ym = np.array(list(ymat.values()))
-    yy = ym.T @ ym / max(n - 1, 1)
+    for r in pair.groupBy("i", "j").agg(F.sum(F.col("yi") * F.col("yj")).alias("s")).collect():
+        yy[int(r["i"]), int(r["j"])] = r["s"]
+    yy /= max(n - 1, 1)
     vals, rot = np.linalg.eigh(yy)
     order = np.argsort(-vals)[:k_out]
     comps = v @ rot[:, order]
