@@ -146,16 +146,39 @@ def lines(text: Column) -> Column:
 
 
 # --- T18 ---------------------------------------------------------------------
-# The common named HTML entities, in this order
-# (&amp; last so that '&amp;lt;' becomes '&lt;' like a single unescape pass).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# Named entities that are unescaped (&amp; is handled last).
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
+                 ("&middot;", "\u00b7"), ("&hellip;", "\u2026"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"),
+                 ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&euro;", "\u20ac")]
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a code point, by its UTF-8 bytes ('' if there is none)."""
+    def octets(*parts) -> Column:
+        return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(p), 2, "0") for p in parts])), "UTF-8")
+    tail = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
+    lead = lambda shift, mark: F.shiftright(n, shift).bitwiseOR(F.lit(mark))
+    bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return (F.when(bad, F.lit("")).when(n < 0x80, octets(n)).when(n < 0x800, octets(lead(6, 0xC0), tail(0)))
+            .when(n < 0x10000, octets(lead(12, 0xE0), tail(6), tail(0)))
+            .otherwise(octets(lead(18, 0xF0), tail(12), tail(6), tail(0))))
 
 
 def html_unescape(text: Column) -> Column:
-    """Unescape the common named entities (``&amp;`` handled last)."""
-    out = text
-    for ent, ch in HTML_ENTITIES:
+    """Numeric references (decimal and hexadecimal), then the named entities above, ``&amp;`` last."""
+    pattern = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+    def decoded(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
+        return _code_point(F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int"))
+
+    def rebuilt(refs: Column) -> Column:
+        between = F.split(text, pattern)
+        return F.when(F.size(refs) == 0, text).otherwise(F.concat(F.element_at(between, 1), F.array_join(
+            F.transform(refs, lambda ref, i: F.concat(decoded(ref), F.element_at(between, i + 2))), "")))
+
+    out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rebuilt)
+    for ent, ch in [*HTML_ENTITIES, ("&amp;", "&")]:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
@@ -168,19 +191,31 @@ def trim80(text: Column) -> Column:
 
 
 # --- T20 ---------------------------------------------------------------------
+# Fixed pattern of a line that introduces or holds a quotation.
+QUOTE_LINE = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)"
+
+
 def strip_header(text: Column) -> Column:
-    """Drop everything before the first blank line (newsgroup headers)."""
-    return F.regexp_replace(text, r"^(?s).*?\n\n", "")
+    """What follows the first blank line; nothing when there is none."""
+    at = F.instr(text, "\n\n")
+    return F.when(at > 0, text.substr(at + 2, F.char_length(text))).otherwise(F.lit(""))
 
 
 def strip_footer(text: Column) -> Column:
-    """Drop the signature block after the last line made only of dashes."""
-    return F.regexp_replace(text, r"(?s)\n-{2,}\s*\n(?!.*\n-{2,}\s*\n).*$", "")
+    """The trimmed text up to the last line that is blank or only dashes (after
+    trimming); a text without such a line after its first stays as it is."""
+    trim = lambda s: F.regexp_replace(s, f"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")
+
+    def cut(lines: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(lines, lambda s, i: F.when(trim(s).rlike("^-*$"), i))), F.lit(0))
+        return F.when(last > 0, F.array_join(F.slice(lines, F.lit(1), F.greatest(last, F.lit(1))), "\n")).otherwise(text)
+
+    return let(F.split(trim(text), "\n"), cut)
 
 
 def strip_quotes(text: Column) -> Column:
-    """Drop quoted lines (starting with '>' or '|') and 'writes:' lines."""
-    return F.regexp_replace(text, r"(?m)^(?:[>|].*|.*(?:writes|wrote|said):\s*)(?:\n|$)", "")
+    """Without the lines that match ``QUOTE_LINE``."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda s: ~s.rlike(QUOTE_LINE)), "\n")
 
 
 # --- T21 ---------------------------------------------------------------------

@@ -22,12 +22,12 @@ WORDS = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'),
 
 
 def fingerprint_sql(text: str) -> str:
+    # The words are bound once, by a one-element list, and used from there.
     words = WORDS.format(t=text)
-    shingles = (f"list_concat({words}, list_transform(generate_series(1, len({words}) - 1), "
-                f"lambda i: {words}[i] || ' ' || {words}[i + 1]))")
-    hashes = f"list_transform({shingles}, lambda s: {h32('s')})"
-    bottom = f"list_slice(list_sort(list_distinct({hashes})), 1, 328)"
-    return f"list_sort(list_distinct(list_transform({bottom}, lambda h: (h % 16384)::INTEGER)))"
+    shingles = ("list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))")
+    bottom = f"list_slice(list_sort(list_distinct(list_transform({shingles}, lambda s: {h32('s')}))), 1, 328)"
+    return (f"list_transform([{words}], lambda w: list_sort(list_distinct(list_transform({bottom}, "
+            f"lambda h: (h % 16384)::INTEGER))))[1]")
 
 
 VIEWS = {
@@ -60,8 +60,8 @@ VIEWS = {
     "v_user_tag_comment": ("select 1 as user_id, case when quality = 1 then 'good' else 'bad' end as tag, "
                            "doc_id as comment_id from labels union all "
                            "select 2, 'toxic', doc_id from labels where toxic = 1"),
-    "v_tagset_tags": "select * from (values (1, 'good'), (1, 'bad'), (2, 'toxic')) t(tagset_id, tag)",
-    "v_user_tagset": "select * from (values (1, 1), (2, 2), (3, 1)) t(user_id, tagset_id)",
+    "v_tagset_tags": "select o_orderstatus as tagset_id, o_orderpriority as tag from orders",
+    "v_user_tagset": "select distinct o_custkey as user_id, o_orderstatus as tagset_id from orders",
     "v_grants": ("select distinct e.user_id, cast(substr(d.source, 4) as int) as source_id "
                  "from events e join documents d on e.event_id = d.doc_id"),
     "v_models": ("select event_id as model_id, CAST(1 + user_id % 2 AS INTEGER) as tagset_id, user_id, "

@@ -11,24 +11,27 @@ from tagweave.plans.registry import register
 
 PAGE = "page1"
 
-_AGG_SQL = f"""agg AS (
-  SELECT post_id, type, CAST(dense_rank() OVER (PARTITION BY post_id ORDER BY count(type) DESC) AS INTEGER) AS r,
-         count(*) AS c
-  FROM v_reactions WHERE type != 'LIKE' AND page = '{PAGE}' GROUP BY post_id, type)"""
+# The rules, from counts to comments: likes don't count, a post's reactions are
+# ranked by how often they came, and its long comments go with the top ones.
+_AGG_SQL = f"""tally AS (
+  SELECT post_id, type, count(*) AS c FROM (FROM v_reactions WHERE page = '{PAGE}') WHERE type <> 'LIKE' GROUP BY ALL),
+ranked AS (
+  SELECT t.*, CAST(1 + count(DISTINCT b.c) AS INTEGER) AS r
+  FROM tally t LEFT JOIN tally b ON b.post_id = t.post_id AND b.c > t.c GROUP BY ALL)"""
 
 _LONG_SQL = f"""{_AGG_SQL},
+spoken AS (SELECT post_id, json_extract_string(comment, '$.message') AS message FROM v_comments),
 top AS (
-  SELECT agg.post_id, agg.type, agg.r, agg.c, comments.comment->>'message' AS message
-  FROM agg, v_comments AS comments
-  WHERE agg.post_id = comments.post_id AND agg.r <= 2 AND agg.c >= 2
-    AND char_length(comments.comment->>'message') > 140)"""
+  SELECT post_id, type, r, c, message FROM spoken
+  JOIN (SELECT * FROM ranked WHERE r < 3 AND c > 1) USING (post_id)
+  WHERE length(message) >= 141)"""
 
 
 def _top(t):
     return R.top_reaction_comments(t.views.reactions(), t.views.comments(), PAGE)
 
 
-@register("g1_w2_ranked_reactions", f"WITH {_AGG_SQL} SELECT post_id, type, r, c FROM agg", ("v_reactions",))
+@register("g1_w2_ranked_reactions", f"WITH {_AGG_SQL} SELECT post_id, type, r, c FROM ranked", ("v_reactions",))
 def g1_w2_ranked_reactions(t):
     """G1 + W2 + F5: reaction counts per (post, type), dense rank per post."""
     return R.ranked_reactions(t.views.reactions(), PAGE)
@@ -118,12 +121,14 @@ def w4_running_index(t):
 _WANTED = ["de", "src3", "src5"]
 
 
-@register("s6_articles_in_categories", f"""
-SELECT ab.article, array_to_string(list_sort(list(ct.category)), ',') AS categories, min(ab.abstract) AS abstract
-FROM v_abstracts AS ab, v_categories AS ct
-WHERE ab.article = ct.article AND ab.article IN (
-  SELECT article FROM v_categories WHERE category IN ('de', 'src3', 'src5'))
-GROUP BY ab.article""", ("v_abstracts", "v_categories"))
+_ARTICLES_SQL = """wanted AS (SELECT DISTINCT article FROM v_categories WHERE list_contains(['de', 'src3', 'src5'], category)),
+cats AS (SELECT article, string_agg(category, ',' ORDER BY category) AS categories FROM v_categories GROUP BY article),
+a AS (SELECT article, categories, any_value(abstract) AS abstract
+      FROM wanted JOIN cats USING (article) JOIN v_abstracts USING (article) GROUP BY ALL)"""
+
+
+@register("s6_articles_in_categories", f"WITH {_ARTICLES_SQL} SELECT article, categories, abstract FROM a",
+          ("v_abstracts", "v_categories"))
 def s6_articles_in_categories(t):
     """S6 (J9, J10, G3, W3): article, its categories and abstract, for
     articles in a category set."""
@@ -131,16 +136,11 @@ def s6_articles_in_categories(t):
     return a.select("article", F.array_join("categories", ",").alias("categories"), "abstract")
 
 
-@register("s6_t17_article_lines", f"""
-WITH a AS (
-  SELECT ab.article, array_to_string(list_sort(list(ct.category)), ',') AS categories, min(ab.abstract) AS abstract
-  FROM v_abstracts AS ab, v_categories AS ct
-  WHERE ab.article = ct.article AND ab.article IN (
-    SELECT article FROM v_categories WHERE category IN ('de', 'src3', 'src5'))
-  GROUP BY ab.article)
-SELECT article, categories, CAST(g.i - 1 AS INTEGER) AS line_no,
-  regexp_replace(string_split(abstract, chr(10))[g.i], '^[{T.PY_SPACE}]+|[{T.PY_SPACE}]+$', '', 'g') AS line
-FROM a, unnest(generate_series(1, len(string_split(abstract, chr(10))))) g(i)""", ("v_abstracts", "v_categories"))
+@register("s6_t17_article_lines", f"""WITH {_ARTICLES_SQL},
+n AS (SELECT article, categories, unnest(string_split(abstract, chr(10))) AS line,
+             generate_subscripts(string_split(abstract, chr(10)), 1) - 1 AS line_no FROM a)
+SELECT article, categories, CAST(line_no AS INTEGER) AS line_no,
+  regexp_replace(line, '^[{T.PY_SPACE}]+|[{T.PY_SPACE}]+$', '', 'g') AS line FROM n""", ("v_abstracts", "v_categories"))
 def s6_t17_article_lines(t):
     """S6 + T17: one training row per stripped abstract line."""
     a = R.articles_in_categories(t.views.abstracts(), t.views.categories(), _WANTED)

@@ -27,13 +27,15 @@ def s3_legacy_samples(t):
     return LG.legacy_samples(v.legacy_comments(), v.user_tag_comment(), ["good", "bad"], 1, ["page1"])
 
 
-@register("j7_g11_user_tagsets", """SELECT tt.tagset_id, array_to_string(list_sort(list(DISTINCT tt.tag)), ',') AS tags
-FROM v_tagset_tags tt JOIN v_user_tagset ut ON tt.tagset_id = ut.tagset_id WHERE ut.user_id = 1 GROUP BY tt.tagset_id""",
+@register("j7_g11_user_tagsets", """WITH tags AS (
+  SELECT tagset_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT tagset_id, tag FROM v_tagset_tags) GROUP BY tagset_id)
+SELECT user_id, tagset_id, tags FROM v_user_tagset JOIN tags USING (tagset_id)""",
           ("v_tagset_tags", "v_user_tagset"))
 def j7_g11_user_tagsets(t):
-    """J7 + G11: the user's tagsets and the tags seen in each."""
-    u = LG.user_tagsets(t.views.tagset_tags(), t.views.user_tagset(), 1)
-    return u.select("tagset_id", F.array_join("tags", ",").alias("tags"))
+    """J7 + G11: every user's tagsets and the tags seen in each (stand-in: a
+    customer's order statuses and the priorities seen with them)."""
+    u = LG.user_tagsets(t.views.tagset_tags(), t.views.user_tagset())
+    return u.select("user_id", "tagset_id", F.array_join("tags", ",").alias("tags"))
 
 
 @register("g11_tags_in_tagset", """SELECT tt.tagset_id, array_to_string(list_sort(list(DISTINCT tg.tag_id::VARCHAR)), ',') AS tags,
@@ -136,14 +138,34 @@ def g12_f10_fold_counts(t):
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") >= 0, 1)).alias("n_labelled"))
 
 
-@register("s9_labelled_corpus", """SELECT doc_id, category, subset,
-  md5(regexp_replace(regexp_replace(text, '^(?s).*?\\n\\n', ''), '(?m)^(?:[>|].*|.*(?:writes|wrote|said):\\s*)(?:\\n|$)', '', 'g')) AS body_md5
-FROM v_corpus WHERE category IN ('de', 'fr') AND subset = 'train'""", ("v_corpus",))
+_LF, _WS = "chr(10)", "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@register("s9_labelled_corpus", f"""WITH c AS (
+  SELECT doc_id, category, subset, concat('From: x', {_LF}, CASE WHEN doc_id % 2 = 0 THEN {_LF} END,
+    replace(replace(text, ',', {_LF} || '> '), ' de ', {_LF} || 'Ann says: hi' || {_LF}),
+    CASE WHEN doc_id % 3 = 0 THEN {_LF} || '--' || {_LF} || 'Bob' END) AS t
+  FROM v_corpus WHERE category IN ('de', 'fr') AND subset = 'train'),
+h AS (SELECT *, strpos(t, {_LF} || {_LF}) AS p FROM c),
+a AS (SELECT *, CASE WHEN p > 0 THEN substr(t, p + 2) ELSE '' END AS a FROM h),
+f AS (SELECT *, string_split(trim(a, {_WS}), {_LF}) AS ls FROM a),
+k AS (SELECT *, coalesce(list_max(list_transform(generate_series(1, len(ls)),
+        lambda i: CASE WHEN replace(trim(ls[i], {_WS}), '-', '') = '' THEN i - 1 END)), 0) AS cut FROM f),
+b AS (SELECT *, string_split(CASE WHEN cut > 0 THEN array_to_string(ls[1:cut], {_LF}) ELSE a END, {_LF}) AS body FROM k)
+SELECT doc_id, category, subset, md5(array_to_string(list_filter(body, lambda l: NOT (
+  left(l, 1) IN ('>', '|') OR starts_with(l, 'In article') OR starts_with(l, 'Quoted from') OR contains(l, 'writes in')
+  OR contains(l, 'writes:') OR contains(l, 'wrote:') OR contains(l, 'says:') OR contains(l, 'said:'))), {_LF})) AS body_md5
+FROM b""", ("v_corpus",))
 def s9_labelled_corpus(t):
-    """S9 (+T20): labelled corpus, category filter, train subset, headers
-    and quoted lines removed."""
+    """S9 (+T20): labelled corpus, category filter, train subset, headers,
+    footers and quoted lines removed. The query writes such lines into the texts,
+    which have none, on both sides."""
     c = t.views.corpus().where(F.col("category").isin("de", "fr") & (F.col("subset") == "train"))
-    body = T.strip_quotes(T.strip_header(F.col("text")))
+    blank = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("\n")).otherwise(F.lit(""))
+    foot = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("\n--\nBob")).otherwise(F.lit(""))
+    quoted = F.replace(F.replace("text", F.lit(","), F.lit("\n> ")), F.lit(" de "), F.lit("\nAnn says: hi\n"))
+    text = F.concat(F.lit("From: x\n"), blank, quoted, foot)
+    body = T.strip_quotes(T.strip_footer(T.strip_header(text)))
     return c.select("doc_id", "category", "subset", F.md5(body).alias("body_md5"))
 
 

@@ -13,42 +13,48 @@ from tagweave.plans.registry import register
 # Fixed parameters of the flagship sample (tagset 1, sources 0-9, en/de,
 # 48 truths, 128 samples, seed 1).
 TAGSET, SOURCES, LANGS, TRUTHS, SAMPLES, SEED = 1, list(range(10)), ["en", "de"], 48, 128, 1
-_SRC_SQL = ", ".join(str(s) for s in SOURCES)
-_LANG_SQL = ", ".join(f"'{x}'" for x in LANGS)
-
-S1_SQL = f"""
-tagged AS (
-  SELECT d.id, tg.tag_id, l.language
-  FROM v_data d
-  JOIN v_tagging tg ON d.id = tg.data_id
-  JOIN v_tag_tagset tt ON tg.tag_id = tt.tag_id AND tt.tagset_id = {TAGSET}
-  JOIN v_source s ON d.source_id = s.id AND s.id IN ({_SRC_SQL})
-  JOIN v_language l ON d.id = l.data_id AND l.language IN ({_LANG_SQL})),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY tag_id
-      ORDER BY md5(concat('{SEED}', ':', '0', ':', id::VARCHAR)), id) AS rnr
-  FROM tagged),
-randoms AS (
-  SELECT d.id, CAST(NULL AS INTEGER) AS tag_id, l.language
-  FROM v_data d
-  JOIN v_source s ON d.source_id = s.id AND s.id IN ({_SRC_SQL})
-  JOIN v_language l ON d.id = l.data_id AND l.language IN ({_LANG_SQL})
-  JOIN v_text t ON d.id = t.data_id AND char_length(t.text) > 64
-  WHERE {h01(SEED, 0, 'd.id')} < 0.3 AND d.id NOT IN (SELECT id FROM tagged)
-  ORDER BY md5(concat('{SEED}', ':', '0', ':', d.id::VARCHAR)), d.id, l.language
-  LIMIT {SAMPLES}),
-ids AS (
-  SELECT * FROM randoms
-  UNION ALL SELECT id, tag_id, language FROM ranked WHERE rnr <= {TRUTHS}),
+
+
+# The rules of the sample, written as sets: which documents may be drawn at
+# all, which of them carry a tag of the tagset, and the first k of each set in
+# draw order. An id stands as often as it has tags.
+def _draw_order(bag: str) -> str:
+    return f"md5(concat_ws(':', '{SEED}', {bag}, id))"
+
+
+def _sets_sql(bags: str, truths: int, samples: int) -> str:
+    return f"""
+eligible AS (
+  SELECT id, language FROM v_data
+  SEMI JOIN (SELECT id AS source_id FROM v_source) USING (source_id)
+  JOIN (SELECT data_id AS id, language FROM v_language WHERE list_contains({LANGS!r}, language)) USING (id)
+  WHERE list_contains({SOURCES!r}, source_id)),
+tagset_tags AS (SELECT tag_id FROM v_tag_tagset WHERE tagset_id = {TAGSET}),
+carried AS (
+  SELECT data_id AS id, tag_id, language FROM v_tagging SEMI JOIN tagset_tags USING (tag_id)
+  JOIN (SELECT id AS data_id, language FROM eligible) USING (data_id)),
+long_texts AS (SELECT data_id AS id FROM v_text WHERE length(text) >= 65),
+bags AS (SELECT unnest({bags}) AS bag_id),
+truths AS (
+  SELECT bag_id, id, tag_id, language FROM bags CROSS JOIN carried
+  QUALIFY row_number() OVER (PARTITION BY bag_id, tag_id ORDER BY {_draw_order('bag_id')}, id) <= {truths}),
+others AS (
+  SELECT bag_id, id, CAST(NULL AS INTEGER) AS tag_id, language
+  FROM bags CROSS JOIN (SELECT * FROM eligible JOIN long_texts USING (id) ANTI JOIN carried USING (id))
+  WHERE ('0x' || left({_draw_order('bag_id')}, 8))::BIGINT < 0.3 * 4294967296
+  QUALIFY row_number() OVER (PARTITION BY bag_id ORDER BY {_draw_order('bag_id')}, id, language) <= {samples}),
+ids AS (FROM truths UNION ALL FROM others)"""
+
+
+S1_SQL = f"""{_sets_sql('[0]', TRUTHS, SAMPLES)},
+english AS (SELECT text_id, translation FROM v_translation WHERE target_language = 'en'),
+texts AS (
+  SELECT v_text.data_id AS id, text, translation FROM v_text LEFT JOIN english ON text_id = v_text.id),
 sample AS (
-  SELECT d.id, ids.tag_id, ids.language, t.text, tm.time, fp.fingerprint, tr.translation
-  FROM v_data d
-  JOIN ids ON d.id = ids.id
-  JOIN v_source s ON d.source_id = s.id
-  JOIN v_text t ON d.id = t.data_id
-  JOIN v_fingerprint fp ON d.id = fp.data_id
-  JOIN v_time tm ON d.id = tm.data_id
-  LEFT JOIN v_translation tr ON t.id = tr.text_id AND tr.target_language = 'en')
+  SELECT id, tag_id, language, text, time, fingerprint, translation
+  FROM ids JOIN texts USING (id)
+  JOIN (SELECT data_id AS id, time FROM v_time) USING (id)
+  JOIN (SELECT data_id AS id, fingerprint FROM v_fingerprint) USING (id))
 """
 S1_VIEWS = ("v_data", "v_tagging", "v_tag_tagset", "v_source", "v_language", "v_text",
             "v_fingerprint", "v_time", "v_translation")
@@ -77,43 +83,15 @@ def s2_samples(t):
     return s.select("id", "label", "sample_text", F.size("fingerprint").cast("bigint").alias("fp_size"), "time")
 
 
-@register("s1_bag_sample_counts", f"""
-WITH tagged AS (
-  SELECT d.id, tg.tag_id, l.language
-  FROM v_data d
-  JOIN v_tagging tg ON d.id = tg.data_id
-  JOIN v_tag_tagset tt ON tg.tag_id = tt.tag_id AND tt.tagset_id = {TAGSET}
-  JOIN v_source s ON d.source_id = s.id AND s.id IN ({_SRC_SQL})
-  JOIN v_language l ON d.id = l.data_id AND l.language IN ({_LANG_SQL})),
-bags AS (SELECT range::INTEGER AS bag_id FROM range(5)),
-ranked AS (
-  SELECT b.bag_id, t.*, row_number() OVER (PARTITION BY b.bag_id, t.tag_id
-      ORDER BY md5(concat('{SEED}', ':', b.bag_id::VARCHAR, ':', t.id::VARCHAR)), t.id) AS rnr
-  FROM tagged t, bags b),
-pool AS (
-  SELECT b.bag_id, d.id, l.language
-  FROM v_data d
-  JOIN v_source s ON d.source_id = s.id AND s.id IN ({_SRC_SQL})
-  JOIN v_language l ON d.id = l.data_id AND l.language IN ({_LANG_SQL})
-  JOIN v_text t ON d.id = t.data_id AND char_length(t.text) > 64, bags b
-  WHERE ('0x' || substr(md5(concat('{SEED}', ':', b.bag_id::VARCHAR, ':', d.id::VARCHAR)), 1, 8))::BIGINT
-        / 4294967296.0 < 0.3
-    AND d.id NOT IN (SELECT id FROM tagged)),
-randoms AS (
-  SELECT bag_id, id, CAST(NULL AS INTEGER) AS tag_id FROM (
-    SELECT *, row_number() OVER (PARTITION BY bag_id
-        ORDER BY md5(concat('{SEED}', ':', bag_id::VARCHAR, ':', id::VARCHAR)), id, language) AS rn FROM pool)
-  WHERE rn <= 16),
-ids AS (SELECT * FROM randoms UNION ALL SELECT bag_id, id, tag_id FROM ranked WHERE rnr <= 8)
-SELECT bag_id, CAST(coalesce(tag_id, -1) AS INTEGER) AS label, count(*) AS n,
-       CAST(sum(id) AS BIGINT) AS id_sum
+@register("s1_bag_sample_counts", f"""WITH {_sets_sql('range(100)::INTEGER[]', TRUTHS, SAMPLES)}
+SELECT bag_id, CAST(coalesce(tag_id, -1) AS INTEGER) AS label, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum
 FROM ids GROUP BY ALL""", ("v_data", "v_tagging", "v_tag_tagset", "v_source", "v_language", "v_text"))
 def s1_bag_sample_counts(t):
-    """M4 sampling: 5 bags drawn in one job (bag_id column), 8 truths per tag
-    and 16 untagged per bag; rows and id sums per (bag, label)."""
+    """M4 sampling: 100 bags drawn in one job (bag_id column), 48 truths per tag
+    and 128 untagged per bag; rows and id sums per (bag, label)."""
     tagged = S.tagged_rows(t.views, TAGSET, SOURCES, LANGS)
-    truths = S.truth_sample(tagged, 8, SEED, n_bags=5)
-    randoms = S.untagged_sample(t.views, tagged, SOURCES, LANGS, 16, SEED, n_bags=5)
+    truths = S.truth_sample(tagged, TRUTHS, SEED, n_bags=100)
+    randoms = S.untagged_sample(t.views, tagged, SOURCES, LANGS, SAMPLES, SEED, n_bags=100)
     ids = randoms.select("bag_id", "id", "tag_id").unionByName(truths.select("bag_id", "id", "tag_id"))
     return (ids.groupBy(F.col("bag_id").cast("int").alias("bag_id"),
                         F.coalesce("tag_id", F.lit(-1)).cast("int").alias("label"))

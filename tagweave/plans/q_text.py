@@ -146,24 +146,26 @@ def t9_strip_urls(t):
 
 # --- T10 - T13, F11 -----------------------------------------------------------------
 @register("t10_lemma_tokens", f"""WITH {O.tokenize_ctes('documents', 'doc_id', 'text')}
-SELECT id AS doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tk_all GROUP BY id""")
+SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens
+FROM documents LEFT JOIN tk_all ON id = doc_id GROUP BY doc_id""")
 def t10_lemma_tokens(t):
-    """T10 (+F11, T12, T13): lemma tokens of every document, str output."""
+    """T10 (+F11, T12, T13): lemma tokens of every document, str output ('' for
+    a document without one)."""
     toks = TK.collect_tokens(TK.tokenize(t.documents, "doc_id", "text"), "str")
-    return toks.select(F.col("id").alias("doc_id"), "tokens")
+    ids = t.documents.select(F.col("doc_id").alias("id"))
+    return TK.with_all_rows(toks, ids, "str").select(F.col("id").alias("doc_id"), "tokens")
 
 
 @register("t10_short_url_tokens", f"""WITH tx AS (SELECT doc_id, replace(text, ' ', ' http://') AS text
-  FROM documents WHERE doc_id % 7 = 0),
+  FROM documents),
 {O.tokenize_ctes('tx', 'doc_id', 'text', short_url=True)}
-SELECT id AS doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tk_all GROUP BY id""")
+SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens FROM tx LEFT JOIN tk_all ON id = doc_id GROUP BY doc_id""")
 def t10_short_url_tokens(t):
     """T10 with ``short_url``: URL hosts appended. No fixture text has a
-    scheme, so the query writes 'http://' before words of every 7th document."""
-    d = t.documents.where(F.pmod("doc_id", F.lit(7)) == 0).select(
-        "doc_id", F.replace("text", F.lit(" "), F.lit(" http://")).alias("text"))
+    scheme, so the query writes 'http://' before the words, on both sides."""
+    d = t.documents.select("doc_id", F.replace("text", F.lit(" "), F.lit(" http://")).alias("text"))
     toks = TK.collect_tokens(TK.tokenize(d, "doc_id", "text", short_url=True), "str")
-    return toks.select(F.col("id").alias("doc_id"), "tokens")
+    return TK.with_all_rows(toks, d.select(F.col("doc_id").alias("id")), "str").select(F.col("id").alias("doc_id"), "tokens")
 
 
 @register("t11_pass_through", f"""SELECT conv_id, turn,
@@ -235,17 +237,30 @@ def t17_lines(t):
 
 
 # --- T18 -------------------------------------------------------------------------------------
+# Named entities and their characters, spelled apart from the operator's table.
+_NAMED_SQL = [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&apos;", "chr(39)"), ("&nbsp;", "chr(160)"),
+              ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&hellip;", "chr(8230)"), ("&ndash;", "chr(8211)"),
+              ("&mdash;", "chr(8212)"), ("&laquo;", "chr(171)"), ("&raquo;", "chr(187)"), ("&euro;", "chr(8364)"), ("&amp;", "'&'")]
+_REFS_SQL = [("&#64;", 64), ("&#xe9;", 0xE9), ("&#X20AC;", 0x20AC), ("&#128512;", 128512), ("&#39;", 39)]
+_WRITTEN = "&#xe9;&#X20AC;&hellip; &#128512;&#39;&#0;&nope;"
+
+
 def _unescape_sql(x: str) -> str:
-    for ent, ch in T.HTML_ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    for ref, code in _REFS_SQL:
+        x = f"replace({x}, '{ref}', chr({code}))"
+    x = f"replace({x}, '&#0;', '')"
+    for name, char in _NAMED_SQL:
+        x = f"replace({x}, '{name}', {char})"
     return x
 
 
-@register("t18_html_unescape", f"""SELECT page_id, md5({_unescape_sql('html')}) AS html_md5,
-  length({_unescape_sql('html')}) AS n_chars FROM pages""")
+@register("t18_html_unescape", f"""WITH h AS (SELECT page_id, concat(html, ' &#64;&amp;#64; ', url, '{_WRITTEN}') AS t FROM pages),
+u AS (SELECT page_id, {_unescape_sql('t')} AS u FROM h)
+SELECT page_id, md5(u) AS html_md5, length(u) AS n_chars FROM u""")
 def t18_html_unescape(t):
-    """HTML unescape of whole pages (common entities), md5 + length."""
-    u = T.html_unescape(F.col("html"))
+    """HTML unescape of whole pages, numeric and named references, md5 +
+    length. The pages have no numeric ones, so the query appends some."""
+    u = T.html_unescape(F.concat("html", F.lit(" &#64;&amp;#64; "), "url", F.lit(_WRITTEN)))
     return t.pages.select("page_id", F.md5(u).alias("html_md5"), F.char_length(u).cast("bigint").alias("n_chars"))
 
 
@@ -257,11 +272,17 @@ def t19_trim80(t):
     return t.documents.select("doc_id", T.trim80(F.col("text")).alias("short"))
 
 
-@register("t20_strip_header", """SELECT conv_id, turn, md5(regexp_replace(text, '^(?s).*?\\n\\n', '')) AS body_md5
-FROM conversations""")
+@register("t20_strip_header", """WITH m AS (
+  SELECT conv_id, turn, concat('Subject: x', chr(10), CASE WHEN turn % 3 <> 1 THEN chr(10) END, text, chr(10), chr(10), 'end') AS t
+  FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN strpos(t, chr(10) || chr(10)) > 0 THEN substr(t, strpos(t, chr(10) || chr(10)) + 2) ELSE '' END)
+  AS body_md5 FROM m""")
 def t20_strip_header(t):
-    """Drop the header block (everything before the first blank line)."""
-    return t.conversations.select("conv_id", "turn", F.md5(T.strip_header(F.col("text"))).alias("body_md5"))
+    """What follows the first blank line; the query puts a header with and
+    without one before the texts, on both sides."""
+    blank = F.when(F.col("turn") % 3 != 1, F.lit("\n")).otherwise(F.lit(""))
+    text = F.concat(F.lit("Subject: x\n"), blank, "text", F.lit("\n\nend"))
+    return t.conversations.select("conv_id", "turn", F.md5(T.strip_header(text)).alias("body_md5"))
 
 
 # --- T21 ------------------------------------------------------------------------------------------
