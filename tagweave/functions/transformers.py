@@ -94,23 +94,61 @@ class TimeOfDayTransformer(_Base):
 
 
 class LemmaTokenTransformer(_Base, _HasOutputType):
-    """Per-row form of T10 without the corpus-vocabulary lemma step (that step
-    is a join: ``operators.tokenize.tokenize``); pass-through splits on
-    whitespace."""
+    """T10 per row: content tokens, lemmas by ``lemmas`` (token -> lemma, as
+    ``operators.tokenize.lemma_table`` makes it once from a training sample; none
+    without it), URLs; pass-through splits on whitespace. A table too large for a
+    parameter is joined instead: ``operators.tokenize.tokenize``."""
+    lemmas = Param(Params._dummy(), "lemmas", "token -> lemma")
     shortUrl = Param(Params._dummy(), "shortUrl", "keep URL hosts only", typeConverter=TypeConverters.toBoolean)
     passThrough = Param(Params._dummy(), "passThrough", "whitespace split", typeConverter=TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, inputCol="text", outputCol="tokens", shortUrl=False, passThrough=False, outputType="dict"):
+    def __init__(self, inputCol="text", outputCol="tokens", shortUrl=False, passThrough=False, outputType="dict", lemmas=None):
         super().__init__()
-        self._setDefault(inputCol="text", outputCol="tokens", shortUrl=False, passThrough=False, outputType="dict")
-        self._set(**self._input_kwargs)
+        self._setDefault(inputCol="text", outputCol="tokens", shortUrl=False, passThrough=False, outputType="dict", lemmas={})
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _expr(self, c):
         from tagweave.operators.tokenize import content_tokens
         if self.getOrDefault(self.passThrough):
             return self._shape(T.whitespace_tokens(c))
-        return self._shape(F.concat(content_tokens(c), T.urls(c, self.getOrDefault(self.shortUrl))))
+        tokens = content_tokens(c)
+        table = self.getOrDefault(self.lemmas)
+        if table:
+            known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+            tokens = T.let(known, lambda m: F.transform(content_tokens(c), lambda t: F.coalesce(F.element_at(m, t), t)))
+        return self._shape(F.concat(tokens, T.urls(c, self.getOrDefault(self.shortUrl))))
+
+
+class DenseTransformer(_Base):
+    """A Spark ML vector as a dense array."""
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="dense"):
+        super().__init__()
+        self._setDefault(inputCol="features", outputCol="dense")
+        self._set(**self._input_kwargs)
+
+    def _expr(self, c):
+        from pyspark.ml.functions import vector_to_array
+        return vector_to_array(c)
+
+
+class LanguageTransformer(Transformer, HasOutputCol):
+    """Adds the detected language of ``inputCol``; ``model`` is a fitted
+    ``operators.language`` model, ``idCol`` names the rows."""
+    inputCol = Param(Params._dummy(), "inputCol", "text column", typeConverter=TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "unique row id", typeConverter=TypeConverters.toString)
+
+    def __init__(self, model, inputCol="text", outputCol="language", idCol="id"):
+        super().__init__()
+        self.model = model
+        self._set(inputCol=inputCol, outputCol=outputCol, idCol=idCol)
+
+    def _transform(self, df):
+        from tagweave.operators import language as LG
+        key = self.getOrDefault(self.idCol)
+        found = LG.detect(df, key, self.getOrDefault(self.inputCol), self.model)
+        return df.join(found.select(key, F.col("lang_id").alias(self.getOutputCol())), key, "left")
 
 
 class FingerprintTransformer(_Base):

@@ -261,6 +261,23 @@ def classification_report(pred: DataFrame, truth: DataFrame) -> DataFrame:
                     F.round(f1, 6).alias("f1"), F.col("support").cast("bigint").alias("support"))
 
 
+def report_averages(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """The plain mean over the classes, and the mean weighted by support, of
+    precision, recall and F1."""
+    j = pred.join(truth, "id")
+    hit = (F.col("label") == F.col("prediction")).cast("long")
+    by = j.groupBy(F.col("label").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("tp"))
+    said = j.groupBy(F.col("prediction").alias("c")).agg(F.count(F.lit(1)).alias("np"))
+    k = by.join(said, "c", "full").fillna(0, ["n", "tp", "np"])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    k = k.select("n", share(F.col("tp"), F.col("np")).alias("precision"), share(F.col("tp"), F.col("n")).alias("recall"),
+                 share(2 * F.col("tp"), F.col("n") + F.col("np")).alias("f1"))
+    names, total = ("precision", "recall", "f1"), F.sum("n").cast("bigint").alias("support")
+    plain = k.agg(*[F.round(F.avg(c), 6).alias(c) for c in names], total)
+    weighted = k.agg(*[F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6).alias(c) for c in names], total)
+    return plain.select(F.lit("macro avg").alias("average"), "*").unionByName(weighted.select(F.lit("weighted avg").alias("average"), "*"))
+
+
 def top_terms_per_class(weights: DataFrame, k: int = 10) -> DataFrame:
     """The k highest-weight terms per class (ties: lower term);
     groups are classes but the window keeps only k rows per task before the

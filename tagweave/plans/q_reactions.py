@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import text as T
 from tagweave.operators import reactions as R
+from tagweave.operators.ranking import ordered_rank
 from tagweave.plans.registry import register
 
 PAGE = "page1"
@@ -52,6 +53,16 @@ def g2_top_reaction_groups(t):
     return R.top_reaction_groups(_top(t))
 
 
+@register("l3_ordered_reactions", f"""WITH {_LONG_SQL},
+g AS (SELECT post_id, r, type, c, count(*) AS n_comments FROM top GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY post_id, r, type) AS pos, * FROM g""", ("v_reactions", "v_comments"))
+def l3_ordered_reactions(t):
+    """L3: the top reaction groups listed by post, then rank (then type), with
+    their position in the listing (a distributed global sort)."""
+    g = R.top_reaction_groups(_top(t)).select("post_id", "r", "type", "c", "n_comments")
+    return ordered_rank(g, [], ["post_id", "r", "type"], "pos").select("pos", "post_id", "r", "type", "c", "n_comments")
+
+
 @register("s4_top_reaction_text", f"""WITH {_LONG_SQL}
 SELECT post_id, type, r, c, md5(string_agg(message, chr(10) ORDER BY message)) AS text_md5
 FROM top GROUP BY post_id, type, r, c""", ("v_reactions", "v_comments"))

@@ -21,12 +21,12 @@ def word_tokens(text):
 
 
 def conv_docs(t):
-    """Conversation turns as documents: id = conv_id * 1000 + turn."""
+    """Conversation turns as documents: id = '<conv_id>_<turn>'."""
     c = t.conversations
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
+    return c.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text", "role")
 
 
-_CONV_TF = f"""toks AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term
+_CONV_TF = f"""toks AS (SELECT concat_ws('_', conv_id, turn) AS id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term
                 FROM conversations),
 tf AS (SELECT id, term, count(*) AS tf FROM toks GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM conversations)"""
@@ -38,7 +38,7 @@ def _conv_tf(t):
 
 
 @register("v1_hashed_counts", f"""SELECT id, CAST({h32('tok')} % 200 AS INTEGER) AS term, count(*) AS tf FROM (
-  SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS tok FROM conversations)
+  SELECT concat_ws('_', conv_id, turn) AS id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS tok FROM conversations)
 GROUP BY ALL""")
 def v1_hashed_counts(t):
     """V1: hashed token counts, 200 buckets (md5 bucket)."""
@@ -74,6 +74,21 @@ def v4_tfidf(t):
     return x.select("id", "term", F.round("value", 6).alias("value"))
 
 
+@register("v6_tfidf_min3_max95", f"""WITH {_CONV_TF},
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT tf.id, tf.term, tf.tf * (ln((n.n + 1.0) / (df.df + 1.0)) + 1.0) AS v FROM tf JOIN df USING (term), n
+      WHERE df.df >= 3 AND df.df <= 0.95 * n.n),
+nrm AS (SELECT id, sqrt(sum(v * v)) AS nrm FROM x GROUP BY id)
+SELECT x.id, x.term, round(x.v / nrm.nrm, 6) AS value FROM x JOIN nrm USING (id)""")
+def v6_tfidf_min3_max95(t):
+    """V6: TF-IDF of the terms that 3 texts at least and 95 % at most have."""
+    tf = _conv_tf(t)
+    n = t.conversations.select(F.count(F.lit(1))).scalar()
+    kept = V.filter_df(tf, n, min_df=3, max_df=0.95)
+    x = V.tfidf(kept, V.idf_table(kept, n))
+    return x.select("id", "term", F.round("value", 6).alias("value"))
+
+
 @register("v5_sublinear_tfidf", f"""WITH {_CONV_TF},
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 x AS (SELECT tf.id, tf.term, (1.0 + ln(tf.tf)) * (ln((n.n + 1.0) / (df.df + 1.0)) + 1.0) AS v

@@ -166,3 +166,41 @@ def test_threshold_clustering_radius_bound(spark):
         assert radius <= 0.7 + 1e-9
     b = {r["id"]: r["label"] for r in CL.threshold_clustering(x.repartition(7), 0.7, group_rows=40).collect()}
     assert b == lab                                             # partitioning does not change the result
+
+
+def test_lemma_and_dense_transformers(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tagweave.functions import transformers as TR
+    df = spark.createDataFrame([("two dogs barked at http://a.b/c",)], "text string")
+    out = TR.LemmaTokenTransformer(outputType="list", lemmas={"dogs": "dog"}).transform(df).first()["tokens"]
+    assert "dog" in out and "dogs" not in out
+    assert "dogs" in TR.LemmaTokenTransformer(outputType="list").transform(df).first()["tokens"]
+    copy = TR.LemmaTokenTransformer(outputType="list", lemmas={"dogs": "dog"}).copy()
+    assert copy.transform(df).first()["tokens"] == out
+    v = spark.createDataFrame([(Vectors.sparse(4, [1], [2.0]),)], ["features"])
+    assert TR.DenseTransformer().transform(v).first()["dense"] == [0.0, 2.0, 0.0, 0.0]
+
+
+def test_language_transformer_and_translation_batches(spark):
+    from tagweave.functions import transformers as TR
+    from tagweave.operators import language as LG
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = LG.fit(docs, "doc_id", "text", "lang")
+    out = TR.LanguageTransformer(model, idCol="doc_id").transform(docs)
+    assert out.count() == docs.count() and out.where("language = lang").count() > 0.9 * docs.count()
+
+
+def test_translation_batches_fill_what_memory_lacks(spark):
+    from tagweave.operators import language as LG
+    texts = spark.createDataFrame([(1, "de", "eins"), (2, "de", "zwei"), (3, "en", "three"), (4, "es", "cuatro"), (5, "fr", "cinq")],
+                                  "id long, lang string, text string")
+    memory = spark.createDataFrame([(1, "en", "one"), (2, "xx", "no")], "id long, target_language string, translation string")
+
+    def batch(rows, source, target):
+        return [f"{source}>{target}:{r}" for r in rows]
+
+    got = {r["id"]: r["translated"] for r in LG.route_translations(texts, "id", "lang", memory, batch_fn=batch).collect()}
+    assert got == {1: "one", 2: "de>en:zwei", 3: "three", 4: "es>en:cuatro", 5: None}
+    got = {r["id"]: r["translated"] for r in LG.route_translations(texts, "id", "lang", memory).collect()}
+    assert got == {1: "one", 2: None, 3: "three", 4: None, 5: None}
