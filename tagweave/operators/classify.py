@@ -1,16 +1,14 @@
 """Classifiers as tables (M9, M10, M17, M19) and their evaluation.
 
 Inputs are long vectors ``(id, term, value)`` and label tables
-``(id, label)``. A fitted model is a DataFrame keyed by (term, class);
-prediction joins the new rows' vectors with it and aggregates per
-(id, class). The class list (a handful of values) is the only thing taken to
-the driver.
-
-Scale notes: the model table has at most |vocabulary| x |classes| rows and is
-joined on the term (hot terms on the data side, |classes| rows per term on the
-model side — AQE splits the skew). Scores are sums per (id, class): bounded
-groups. Every document gets every class by exploding the literal class list,
-not by a cross join.
+``(id, label)``. A fitted naive Bayes model is a table with one row per term
+and an array with one weight per class; prediction joins the new rows' vectors
+with it and sums per row, so rows are never multiplied by classes. The class list
+and its constants (a row per class) are all that is taken to the driver.
+
+Scale notes: the model table is broadcast while it has few terms (hashed
+features always), else joined on the term (hot terms on the data side, one row
+per term on the model side — AQE splits the skew).
 """
 
 from __future__ import annotations
@@ -50,21 +48,42 @@ def fit_multinomial_nb(x: DataFrame, labels: DataFrame, alpha: float = 1.0, labe
     return feats, prior
 
 
+#: Terms of a model that is shipped to every task; a larger one is joined by a shuffle.
+MAX_BROADCAST_TERMS = 1 << 18
+
+
+def _model_side(table: DataFrame) -> DataFrame:
+    """One row per term, read twice: counted, then broadcast if it is small."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_TERMS else table
+
+
+def _class_sums(x: DataFrame, table: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, s ARRAY): sum over the row's terms of value * w, w (term, w ARRAY) holding
+    one weight per class; rows are not multiplied by the classes."""
+    sums = x.join(_model_side(table), "term").groupBy("id").agg(
+        *[F.sum(F.col("value") * F.get("w", F.lit(i))).alias(f"s{i}") for i in range(n)])
+    s = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(n)])
+    return ids.select("id").distinct().join(sums, "id", "left").select("id", s.alias("s"))
+
+
+def _by_class(sums: DataFrame, classes: list, base: dict) -> DataFrame:
+    """(id, c, score) with ``base`` (class -> constant) added."""
+    rows = F.array(*[F.struct(F.lit(c).alias("c"), (F.get("s", F.lit(i)) + F.lit(float(base[c]))).alias("score")) for i, c in enumerate(classes)])
+    return sums.select("id", F.explode(rows).alias("e")).select("id", "e.c", "e.score")
+
+
 def predict_multinomial_nb(x: DataFrame, ids: DataFrame, model) -> DataFrame:
     """Scores (id, c, score) = logprior + sum_t value * logp(t|c); a term of the
     vocabulary unseen with class c has logp0(c). Terms outside the vocabulary
     are ignored."""
     feats, prior = model
-    classes = [r[0] for r in prior.select("c").orderBy("c").collect()]
-    vocab = feats.select("term").distinct()
-    xv = x.join(vocab, "term", "left_semi")
-    # Every (term, class) pair of the vocabulary: observed logp, else logp0.
-    xc = _with_classes(xv, classes)
-    s = xc.join(feats, ["term", "c"], "left").join(F.broadcast(prior.select("c", "logp0")), "c") \
-        .groupBy("id", "c").agg(F.sum(F.col("value") * F.coalesce("logp", "logp0")).alias("s"))
-    all_c = _with_classes(ids.select("id").distinct(), classes)
-    return all_c.join(s, ["id", "c"], "left").join(F.broadcast(prior.select("c", "logprior")), "c").select(
-        "id", "c", (F.col("logprior") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    found = {r["c"]: r for r in prior.collect()}          # one row per class
+    classes = sorted(found)
+    by = feats.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("c", "logp"))).alias("m"))
+    w = F.array(*[F.coalesce(F.element_at("m", F.lit(c)), F.lit(float(found[c]["logp0"]))) for c in classes])
+    return _by_class(_class_sums(x, by.select("term", w.alias("w")), ids, len(classes)), classes,
+                     {c: found[c]["logprior"] for c in classes})
 
 
 def fit_bernoulli_nb(x: DataFrame, labels: DataFrame, alpha: float = 1.0, label_col: str = "label"):
@@ -88,12 +107,12 @@ def fit_bernoulli_nb(x: DataFrame, labels: DataFrame, alpha: float = 1.0, label_
 
 def predict_bernoulli_nb(x: DataFrame, ids: DataFrame, model) -> DataFrame:
     feats, base = model
-    classes = [r[0] for r in base.select("c").orderBy("c").collect()]
-    pres = x.where(F.col("value") > 0).select("id", "term")
-    s = pres.join(feats, "term").groupBy("id", "c").agg(F.sum("w").alias("s"))
-    all_c = _with_classes(ids.select("id").distinct(), classes)
-    return all_c.join(s, ["id", "c"], "left").join(F.broadcast(base), "c").select(
-        "id", "c", (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("score"))
+    found = {r["c"]: r["base"] for r in base.collect()}
+    classes = sorted(found)
+    by = feats.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("c", "w"))).alias("m"))
+    w = F.array(*[F.coalesce(F.element_at("m", F.lit(c)), F.lit(0.0)) for c in classes])
+    pres = x.where(F.col("value") > 0).select("id", "term", F.lit(1.0).alias("value"))
+    return _by_class(_class_sums(pres, by.select("term", w.alias("w")), ids, len(classes)), classes, found)
 
 
 def argmax(scores: DataFrame, higher_is_better: bool = True) -> DataFrame:
@@ -105,40 +124,36 @@ def argmax(scores: DataFrame, higher_is_better: bool = True) -> DataFrame:
 # --- M10 one-vs-rest multi-label ----------------------------------------------------------
 def fit_ovr_nb(x: DataFrame, label_sets: DataFrame, classes: list, alpha: float = 1.0):
     """One binary multinomial NB per label (label present vs absent), all
-    labels in one job. ``label_sets`` is (id, labels ARRAY). Returns per-label
-    feature table (k, term, c in {0,1}, logp) and prior table."""
-    lab = label_sets.select("id", F.explode(F.array(*[F.lit(k) for k in classes])).alias("k"),
-                            "labels").select("id", "k", F.array_contains("labels", F.col("k")).cast("int").alias("c"))
-    vocab = x.select("term").distinct()
-    n_terms = vocab.count()
-    ntc = x.join(lab, "id").groupBy("k", "c", "term").agg(F.sum("value").alias("ntc"))
-    nc = ntc.groupBy("k", "c").agg(F.sum("ntc").alias("nc"))
-    n = label_sets.count()
-    cnt = lab.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
-    prior = cnt.join(nc, ["k", "c"], "left").select(
-        "k", "c", F.log(F.col("m") / F.lit(n)).alias("logprior"),
-        F.log(F.lit(alpha) / (F.coalesce("nc", F.lit(0.0)) + F.lit(alpha * n_terms))).alias("logp0"))
-    feats = ntc.join(F.broadcast(nc), ["k", "c"]).select(
-        "k", "term", "c", F.log((F.col("ntc") + alpha) / (F.col("nc") + F.lit(alpha * n_terms))).alias("logp"))
-    return feats, prior, vocab
+    labels in one job. ``label_sets`` is (id, labels ARRAY). A label's "absent"
+    side is the total less its "present" side, so a row is counted once for each
+    label it has, not for each label there is. Returns (term, w ARRAY = log-odds
+    of the term by label) and the prior log-odds (infinite where all or no rows
+    have the label)."""
+    lab = label_sets.select("id", F.explode("labels").alias("k"))
+    total = x.groupBy("term").agg(F.sum("value").alias("t"))
+    with_label = x.join(lab, "id").groupBy("term", "k").agg(F.sum("value").alias("n1"))
+    n, n_terms, n_all = label_sets.count(), total.count(), total.agg(F.sum("t")).first()[0] or 0.0
+    m = {r["k"]: r["m"] for r in lab.groupBy("k").agg(F.count(F.lit(1)).alias("m")).collect()}               # one row per label
+    n1 = {r["k"]: r["s"] for r in with_label.groupBy("k").agg(F.sum("n1").alias("s")).collect()}
+    by = with_label.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("k", "n1"))).alias("m"))
+
+    def odds(k):
+        own = n1.get(k, 0.0)
+        one = F.coalesce(F.element_at("m", F.lit(k)), F.lit(0.0))
+        return (F.log((one + alpha) / F.lit(own + alpha * n_terms))
+                - F.log((F.greatest(F.col("t") - one, F.lit(0.0)) + alpha) / F.lit(n_all - own + alpha * n_terms)))
+
+    table = total.join(by, "term", "left").select("term", F.array(*[odds(k) for k in classes]).alias("w"))
+    prior = {k: float("-inf") if not m.get(k) else float("inf") if m[k] == n else float(np.log(m[k] / (n - m[k]))) for k in classes}
+    return table, prior
 
 
 def predict_ovr_nb(x: DataFrame, ids: DataFrame, model, classes: list) -> DataFrame:
     """(id, k, hit): label k predicted when the 'present' side scores higher
     (ties: absent)."""
-    feats, prior, vocab = model
-    xv = x.join(vocab, "term", "left_semi")
-    pk = prior.select("k", "c", "logp0")
-    xs = xv.withColumn("k", F.explode(F.array(*[F.lit(k) for k in classes]))) \
-        .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
-    s = xs.join(feats, ["k", "term", "c"], "left").join(F.broadcast(pk), ["k", "c"]) \
-        .groupBy("id", "k", "c").agg(F.sum(F.col("value") * F.coalesce("logp", "logp0")).alias("s"))
-    all_kc = ids.select("id").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in classes]))) \
-        .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
-    sc = all_kc.join(s, ["id", "k", "c"], "left").join(F.broadcast(prior.select("k", "c", "logprior")), ["k", "c"], "left") \
-        .select("id", "k", "c", (F.coalesce("logprior", F.lit(float("-inf"))) + F.coalesce("s", F.lit(0.0))).alias("score"))
-    w = sc.groupBy("id", "k").agg(F.min_by("c", F.struct(-F.col("score"), F.col("c"))).alias("c"))
-    return w.select("id", "k", F.col("c").alias("hit"))
+    table, prior = model
+    scores = _by_class(_class_sums(x, table, ids, len(classes)), classes, prior)
+    return scores.select("id", F.col("c").alias("k"), (F.round("score", 9) > 0).cast("int").alias("hit"))
 
 
 # --- M19 nearest centroid ----------------------------------------------------------------------
