@@ -3,7 +3,7 @@
 ``ORDER BY random()`` cannot be re-run or checked. Every random choice in
 tagweave is a hash of (seed, bag, row id): the same row gets the same draw on
 every executor, every retry and in the DuckDB oracle. md5 runs inside
-whole-stage codegen; no Python is involved.
+built-in expressions; no Python is involved.
 """
 
 from __future__ import annotations

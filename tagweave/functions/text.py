@@ -1,6 +1,7 @@
 """Row-wise text functions as Catalyst expressions (``Column -> Column``).
 
-All of these run JVM-side inside whole-stage codegen: regular expressions,
+All of these run JVM-side (higher-order functions are interpreted there, not
+compiled): regular expressions,
 higher-order array functions (``transform``/``filter``/``aggregate``) and
 maps. None needs Python at run time, so each one is as cheap on a 1000-node
 cluster as a projection, and each one also runs unchanged on a streaming

@@ -2,7 +2,7 @@
 
 Each wrapper holds real ``Param``s (so ``copy`` and pipelines keep every
 setting — ``strict`` and ``pass_through`` included) and delegates to the
-Column functions, so it runs inside whole-stage codegen and on streams.
+Column functions, so it runs JVM-side and on streams.
 ``fit`` is the Transformer identity; ``transform`` adds ``outputCol``.
 """
 

@@ -8,7 +8,8 @@ it with a join, never with a driver-side dictionary.
 Scale notes
 -----------
 * Term counts come from the per-row sort-and-run-length expression
-  (``token_counts``): no shuffle.
+  (``token_counts``), without a shuffle; hashed counts from an aggregate per row
+  and bucket, which combines before its shuffle.
 * Document frequency is ``groupBy(term).count()`` over (doc, term) pairs
   with partial aggregation; a term found in every document is one hot key of
   a *combining* aggregate, which is cheap.
@@ -48,8 +49,9 @@ def hashed_counts(df: DataFrame, id_col: str, tokens_col: str, n_features: int)
     """V1: feature hashing of token counts: (id, term=bucket, tf) with bucket =
     md5 bucket of the token in [0, n_features). Counts of tokens sharing a
     bucket add up (plain counts, all non-negative)."""
-    buckets = F.transform(F.col(tokens_col), lambda t: md5_bucket(t, n_features))
-    return df.select(F.col(id_col).alias("id"), F.explode(token_counts(buckets, "int")).alias("term", "tf"))
+    # Hashed outside a lambda, where the hash is compiled; a row's counts combine before the shuffle.
+    rows = df.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("token"))
+    return rows.groupBy("id", md5_bucket(F.col("token"), n_features).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
