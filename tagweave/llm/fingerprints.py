@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = SKETCH) -> DataFrame:
     # The id without null and a hash of the text name a document; equal rows are one.
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("id"), "doc_id", text.alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text", F.col("doc_id").isNull()))
-    slim = stored(keyed.select("id", "h", F.length("text").alias("n_chars"), sketch(F.col("text"), size).alias("fp")))
+    slim = stored(keyed.select("id", "h", "doc_id", F.length("text").alias("n_chars"), sketch(F.col("text"), size).alias("fp")))
     one = slim.groupBy("id", "h").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("m"))
     ranked = stored(ordered_rank(one, [], [F.bitwise_not(F.col("id")).alias("o"), "h"], "r", "n"))
     after = ranked.select(F.col("r").alias("r2"), F.col("id").alias("next_id"), F.col("h").alias("next_h"))
@@ -87,20 +87,23 @@ def fingerprints(docs: DataFrame, size: int = SKETCH) -> DataFrame:
     repeated = bool(one.where("m > 1").head(1))
     unique = (lambda d, *keys: d.dropDuplicates(list(keys))) if repeated else (lambda d, *keys: d)
 
-    texts = keyed.repartition("id", "h")
-    begins = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text").join(pairs, ["next_id", "next_h"])
-    begins = unique(begins.select("id", "h", "half", "next_id", "next_h", F.substring("text", F.lit(1), F.col("half")).alias("begin")), "id", "h")
-    prints = unique(slim, "id", "h").select("id", "h", "fp")
+    # The same exchange on both sides: a text is shuffled once.
+    texts = keyed.select("id", "h", "text").repartition("id", "h")
+    prints = unique(slim, "id", "h").select("id", "h", "doc_id", "n_chars", "fp")
     ahead = prints.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
+    begins = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text").join(pairs, ["next_id", "next_h"])
+    begins = begins.join(ahead, ["next_id", "next_h"]).select(
+        "id", "h", "half", "next_fp", F.substring("text", F.lit(1), F.col("half")).alias("begin"))
+    begins = unique(begins, "id", "h")
 
     x = texts.join(begins, ["id", "h"])
     n = F.length("text")
-    x = x.select("id", "h", "doc_id", n.cast("bigint").alias("n_chars"), "next_id", "next_h",
+    x = x.select("id", "h", "next_fp",
                  F.concat(F.substring("text", F.lit(1), n - F.col("half")), F.col("begin")).alias("edited"))
-    x = x.select("id", "h", "doc_id", "n_chars", "next_id", "next_h",
-                 F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited"), size).alias("edited_fp"))
-    x = x.join(prints, ["id", "h"]).join(ahead, ["next_id", "next_h"])
-    return x.select("doc_id", "n_chars", "edited_sha256", to_string(F.col("fp")).alias("fingerprint"),
+    x = x.select("id", "h", "next_fp", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                 sketch(F.col("edited"), size).alias("edited_fp"))
+    x = x.join(prints, ["id", "h"])
+    return x.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", to_string(F.col("fp")).alias("fingerprint"),
                     to_string(F.col("edited_fp")).alias("edited_fingerprint"),
                     likeness(F.col("fp"), F.col("edited_fp"), size).alias("near_edited"),
                     likeness(F.col("fp"), F.col("next_fp"), size).alias("near_next"))
