@@ -27,7 +27,7 @@ BLOCK_BYTES = 2 << 20
 PART_BYTES = 24 << 20
 DEALT_BYTES = 8 << 20
 
-REQUEST = "part long, block long, body binary"
+REQUEST = "part long, block long, n long, body binary"
 ANSWER = "block long, round int, part long, body binary"
 
 #: A block's table and answers by round, to sorted keys and a structured array of values.
@@ -76,12 +76,24 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def _sealed(values: np.ndarray) -> bytes:
+    """Records byte plane by byte plane, compressed: ids and sorted keys share their high bytes."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(body: bytes, n: int, dtype: np.dtype) -> np.ndarray:
+    raw = pa.decompress(body, decompressed_size=n * dtype.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(dtype.itemsize, n).T).view(dtype)[:, 0]
+
+
 def _sent(block: int, keys: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
     part = part_of(keys, parts)
     cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.empty(0, np.int64)
     starts = np.concatenate([[0], cuts]) if len(part) else np.empty(0, np.int64)
-    return pd.DataFrame({"part": part[starts.astype(np.int64)], "block": block,
-                         "body": [v.tobytes() for v in np.split(values, cuts)] if len(part) else []})
+    bodies = np.split(values, cuts) if len(part) else []
+    return pd.DataFrame({"part": part[starts.astype(np.int64)], "block": block, "n": [len(v) for v in bodies],
+                         "body": [_sealed(v) for v in bodies]})
 
 
 def answers_of(frame: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -112,7 +124,7 @@ def ask(blocks: DataFrame, answers: DataFrame | None, keys_of: Ask, decide: Call
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(requests_of, REQUEST)
 
     def reply(frame: pd.DataFrame) -> pd.DataFrame:
-        bodies = [np.frombuffer(x, dtype=dtype) for x in frame["body"]]
+        bodies = [_opened(x, n, dtype) for x, n in zip(frame["body"], frame["n"])]
         lengths = [len(x) for x in bodies]
         block = np.repeat(np.arange(len(bodies)), lengths)
         said = decide(np.concatenate(bodies), block)
