@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm import mixing, near_dup, packing, quality, repeats
-from tagweave.session import ensure_checkpoint_dir, ship_package
+from tagweave.llm.common import prepare
+from tagweave.session import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,25 +22,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    ship_package(spark)
+    prepare(spark)
     return near_dup.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out."""
-    ship_package(spark)
+    prepare(spark)
     return repeats.without_repeats(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences with their token ids."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, with_ids=True)
 
 

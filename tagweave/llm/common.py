@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.session import cut_lineage
+from tagweave.session import cut_lineage, ship_package
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that a Python worker holds at once; texts are some thousand characters long.
+BATCH_ROWS = 1024
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the Python workers, and keep their batches small."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``:
     the lineage ends in files that every executor can reach."""

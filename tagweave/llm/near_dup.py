@@ -11,13 +11,17 @@ and components by alternating large-star and small-star.
    by a hash that differs by bucket. The pairs are linear in the rows. Pairs
    survive the signature estimate, then the exact comparison of full sets.
 4. ``components`` joins them. A bucket whose members are all in one component
-   needs no more pairs.
-5. Where a bucket still holds several components, a link between them may be
-   missing. A document is dropped from this stage only by proof: it shares too
-   few shingles with documents of other components to reach the limit with any
-   of them (a count per shingle, linear in the rows). The others are compared
-   with every member of another component of their bucket that the size
-   bound admits, without a cap.
+   needs no more pairs. Where a bucket still holds several components, a link
+   between them may be missing: the rest of the work is on those members.
+5. A member is dropped by proof: it shares too few shingles with documents of
+   other components to reach the limit with any of them (a count per shingle,
+   linear in the rows, by the block exchange of exchange.py).
+6. More hub rounds pair what is outside a bucket's main component with another
+   member of it, as long as that finds links.
+7. Then every pair of members of different components is compared that two bounds
+   admit: those with a rare shingle in common (in at most ``RARE`` documents), and
+   those of a bucket whose frequent shingles alone can reach the limit. Nothing
+   is capped; near copies that hubs missed are the only ones left there.
 
 No group is collected: buckets, hubs and stars are partially aggregated minima
 and joins whose hot keys Spark's skew join splits.
@@ -33,13 +37,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm import exchange
 from tagweave.llm.common import stored
 
 SHINGLE_WORDS = 5
@@ -48,7 +54,13 @@ BANDS, ROWS = 20, 5
 #: Share of equal minima below which a pair is not compared: over five standard
 #: deviations under the limit for 100 minima.
 ESTIMATE_SLACK = 0.2
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
+BROADCAST_IDS = 500_000
+FEW_EDGES = 50_000
+#: Hub rounds go on while one of so many pairs is a link.
+FEW_LINKS = 20
+#: A shingle of so many documents is rare: an index of these stays linear.
+RARE = 8
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -86,30 +98,33 @@ class Shingler:
         return np.unique(acc)
 
 
+@lru_cache(maxsize=1)
+def _shingler(k: int) -> Shingler:
+    """One for the tasks that a Python worker runs one after the other."""
+    return Shingler(k)
+
+
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = lambda i, s: int.from_bytes(hashlib.blake2b(f"{s}{i}".encode(), digest_size=8).digest(), "little")
-    return (np.array([draw(i, "a") | 1 for i in range(n)], dtype=np.uint64),
-            np.array([draw(i, "b") for i in range(n)], dtype=np.uint64))
+    draw = lambda i, s: int.from_bytes(hashlib.blake2b(f"{s}{i}".encode(), digest_size=4).digest(), "little")
+    return (np.array([draw(i, "a") | 1 for i in range(n)], dtype=np.uint32)[:, None],
+            np.array([draw(i, "b") for i in range(n)], dtype=np.uint32)[:, None])
 
 
 def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least value of every universal hash (multiply, add, take the high half) over the set."""
-    out = np.full(len(a), 0xFFFFFFFF, dtype=np.uint64)
-    for at in range(0, len(s), 4096):
-        part = s[at:at + 4096]
-        out = np.minimum(out, ((part[None, :] * a[:, None] + b[:, None]) >> _U(32)).min(axis=1))
+    """The least value of every universal hash (multiply and add modulo 2^32, on the high half) over the set."""
+    x, out = (s >> _U(32)).astype(np.uint32)[None, :], np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, x.shape[1], 512):
+        h = a * x[:, at:at + 512]
+        h += b
+        np.minimum(out, h.min(axis=1), out=out)
     return out.astype("<u4")
 
 
-def _signed(x) -> int:
-    return int(np.uint64(x).astype(np.int64))
-
-
 def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n (set size), d1, d2 (digest of the set), sig (minima), keys (one per band)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _hash_family(bands * rows)
-        shingles = Shingler(shingle_words)
+        shingles = _shingler(shingle_words)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
@@ -136,26 +151,28 @@ def components(edges: DataFrame) -> DataFrame:
     by alternating large-star and small-star (Kiveris et al.), run until no
     edge changes; every round is written to the shared folder."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = None
+    # Few edges are one partition, whose joins and sums need no shuffle; the rounds are the same.
+    few = (lambda d: d.coalesce(1)) if e.count() <= FEW_EDGES else (lambda d: d)
+    e, last = few(e), None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = few(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y"))
-        e = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b"))
-                   .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        e = few(stored(few(small.select(F.col("x").alias("a"), F.col("y").alias("b"))
+                           .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")).distinct()))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
         last = now
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return stored(nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose sets reach ``percent``: sizes, then signatures, then full sets."""
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    side = lambda s, *cols: members.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     least = percent / 100 - ESTIMATE_SLACK
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +183,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                 yield b.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(k)
+        shingles = _shingler(k)
         for b in batches:
             keep = []
             for x, y in zip(b["text_a"], b["text_b"]):
@@ -175,40 +192,128 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
+    sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = stored(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(estimate, "a long, b long"))
-    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    full = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
     return stored(full.mapInPandas(compare, "a long, b long"))
 
 
-def _open_pairs(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs in different components of one bucket that the bounds can't rule out."""
-    m = members.join(label, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"))
-    m = stored(m.join(mixed.where("lo <> hi").select("key", "main"), "key"))
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(k)
-        for b in batches:
-            for rep, comp, text in zip(b["rep"], b["comp"], b["text"]):
-                s = shingles(text).view(np.int64)
-                yield pd.DataFrame({"rep": rep, "comp": comp, "s": s})
-
-    docs = m.select("rep", "comp").distinct().join(
-        texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "comp", "text")
-    rows = docs.mapInPandas(explode, "rep long, comp long, s long")
-    shared = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    common = rows.join(shared, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
-    # With the other's size at least 0.01 * percent * n, the limit needs c >= 0.01 * percent * n shared shingles.
-    able = m.join(common, "rep").where(F.expr(f"100 * c >= {percent} * n"))
-    x = able.where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"),
-                                          F.col("n").alias("nx"), F.col("c").alias("ox"))
-    y = able.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("oy"))
-    bound = F.expr(f"cx <> cy AND {100 + percent} * least(ox, oy) >= {percent} * (nx + ny)")
-    return x.join(y, "key").where(bound).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _mixed_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (key, rep, n, ...) of buckets with several components, with their
+    component ``comp`` and the bucket's most frequent one, ``main``."""
+    rows = rows.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "comp", F.coalesce("component", "rep")).drop("component")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"))
+    return rows.join(mixed.where("lo <> hi").select("key", "main"), "key")
+
+
+_SHINGLE = np.dtype([("key", "<u8"), ("count", "<u4"), ("lo", "<i8"), ("hi", "<i8")])
+
+
+def _spread(values: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """0: the shingle stands in one component; else 1: in few documents, 2: in many."""
+    unique, inverse = np.unique(values["key"], return_inverse=True)
+    count, lo, hi = np.zeros(len(unique), np.int64), np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), np.iinfo(np.int64).min)
+    np.add.at(count, inverse, values["count"])
+    np.minimum.at(lo, inverse, values["lo"])
+    np.maximum.at(hi, inverse, values["hi"])
+    return np.where(lo == hi, 0, np.where(count <= RARE, 1, 2)).astype(np.uint8)[inverse]
+
+
+def _shared_shingles(reps: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(rep, c, rare) of ``reps`` (rep, comp): how many of its shingles stand in
+    another component and in many documents, and which in another and in few."""
+    blocks, parts = exchange.pack_blocks(reps.join(members.select("rep", "text"), "rep"))
+
+    def sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shingles = _shingler(k)
+        found = [shingles(x) for x in t.column("text").to_pylist()]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        unique, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        return row, unique, inverse
+
+    def keys_of(t: pa.Table, said: dict) -> tuple[np.ndarray, np.ndarray]:
+        row, unique, inverse = sets(t)
+        comp, values = t.column("comp").to_numpy()[row], np.empty(len(unique), dtype=_SHINGLE)
+        values["key"], values["count"] = unique, np.bincount(inverse, minlength=len(unique))
+        values["lo"], values["hi"] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+        np.minimum.at(values["lo"], inverse, comp)
+        np.maximum.at(values["hi"], inverse, comp)
+        return unique, values
+
+    def counts(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        said, out = exchange.answers_of(right)[1], []
+        for payload in left["payload"]:
+            t = exchange.unpacked(payload)
+            row, unique, inverse = sets(t)
+            what, reps = said[inverse], t.column("rep").to_numpy()
+            c = np.bincount(row[what == 2], minlength=len(reps))
+            rare = np.flatnonzero(what == 1)
+            split = np.split(unique.view(np.int64)[inverse[rare]], np.searchsorted(row[rare], np.arange(1, len(reps))))
+            out.append(pd.DataFrame({"rep": reps, "c": c, "rare": split}))
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "c": [], "rare": []})
+
+    answers = exchange.ask(blocks, None, keys_of, _spread, _SHINGLE, parts, 1)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(counts, "rep long, c long, rare array<long>")
+
+
+def _hub_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """What is outside the main component of a bucket, with a member of it: first
+    the one with the largest share of frequent shingles, then others."""
+    order = -F.col("c") / F.col("n") if number == 1 else F.xxhash64("rep", "key", F.lit(number))
+    hub = rows.where("comp = main").groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("hub"))
+    return _pairs(rows.where("comp <> main").join(hub.select("key", F.col("hub.rep").alias("hub")), "key"), "rep", "hub")
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that the bounds can't rule out: two sets
+    have at most the smaller count ``c`` of frequent shingles in common, and the
+    rare ones that both hold, which are few documents' each."""
+    side = lambda d, s: d.select(*[F.col(x) if x in ("key", "s") else F.col(x).alias(f"{x}_{s}") for x in d.columns])
+    bound = lambda more: F.expr(f"comp_x <> comp_y AND {100 + percent} * (least(c_x, c_y) + {more}) >= {percent} * (n_x + n_y)")
+    keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))          # one a band at most
+    cols = rows.select("key", "rep", "comp", "n", "c", "main").join(keys, "rep")
+    # A pair is made in one of the buckets it shares.
+    first = F.col("key") == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    frequent = side(cols.where("comp <> main").drop("main"), "x").join(side(cols.drop("main"), "y"), "key").where(bound(0) & first)
+    held = rows.select("rep", "comp", "n", "c").distinct().join(rare, "rep")
+    both = side(held, "x").join(side(held, "y"), "s").where("rep_x < rep_y AND comp_x <> comp_y")
+    names = [f"{x}_{s}" for s in "xy" for x in ("rep", "comp", "n", "c")]
+    few = both.groupBy(*names).agg(F.count(F.lit(1)).alias("both")).where(bound("both"))
+    return _pairs(frequent.select("rep_x", "rep_y").unionByName(few.select("rep_x", "rep_y")), "rep_x", "rep_y")
+
+
+def _labels(buckets: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """(node, component) of the linked ones among ``members`` (rep, n, sig, text); ``buckets``: key, rep, n."""
+    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep")).alias("hub"))
+    links = _verified(_pairs(buckets.join(hubs.select("key", F.col("hub.rep").alias("hub")), "key"), "rep", "hub"), members, percent, k)
+    label = components(links)
+
+    rows = stored(_mixed_buckets(buckets, label))
+    shared = stored(_shared_shingles(rows.select("rep", "comp").distinct(), members, k))
+    # The other's set is at least percent / 100 as large, so that share of a set must be common.
+    able = stored(rows.drop("comp", "main").join(shared.select("rep", "c", F.size("rare").alias("few")), "rep")
+                  .where(F.expr(f"100 * (c + few) >= {percent} * n")).drop("few"))
+    rare = shared.select("rep", F.explode("rare").alias("s"))
+    number = 0
+    while True:
+        rows = stored(_mixed_buckets(able, label))
+        number += 1
+        pairs = stored(_hub_pairs(rows, number))
+        more = _verified(pairs, members, percent, k)
+        found, tried = more.count(), pairs.count()
+        if found:
+            links = stored(links.unionByName(more))
+            label = components(links)
+        if found * FEW_LINKS < tried or not tried:
+            break
+    last = _verified(_open_pairs(stored(_mixed_buckets(able, label)), rare, percent), members, percent, k)
+    return components(links.unionByName(last)) if last.head(1) else label
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -216,21 +321,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     sigs = stored(signatures(docs, shingle_words))
     classes = stored(sigs.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    # A repeated doc_id may stand for several sets: its least digest is the node then.
+    # Should an id stand for several sets, one of them is its node.
     nodes = classes.groupBy("rep").agg(F.min(F.struct("n", "sig", "keys")).alias("v")).select("rep", "v.n", "v.sig", "v.keys")
-    single = docs.where("text IS NOT NULL").select("doc_id", "text")
-    members = nodes.select("rep", "n", F.posexplode("keys").alias("band", "h")).select(
-        "rep", "n", F.xxhash64("band", "h").alias("key"))
-    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(
-        F.xxhash64("rep", "key").alias("o"), "rep")).alias("hub")).where("size > 1").select("key", F.col("hub.rep").alias("hub"))
-    members = stored(members.join(hubs, "key"))
-    pairs = members.where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    links = [_verified(pairs, nodes, single, percent, shingle_words)]
-    label = stored(components(links[0]))
-    rest = _open_pairs(members, label, single, percent, shingle_words)
-    links.append(_verified(rest, nodes, single, percent, shingle_words))
-    if links[1].head(1):
-        label = stored(components(reduce(DataFrame.unionByName, links)))
+    keys = nodes.select("rep", "n", F.posexplode("keys").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("key"))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    buckets = stored(keys.join(several, "key"))
+    # Only what shares a bucket needs its text and signature again.
+    members = nodes.select("rep", "n", "sig").join(buckets.select("rep").distinct(), "rep")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
+    members = stored(members.join(texts, "rep").groupBy("rep").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text").alias("text")))
+    label = _labels(buckets, members, percent, shingle_words)
     found = classes.select("d1", "d2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
@@ -242,5 +343,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
     found = near_duplicates(docs, shingle_words, percent)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(found.where("NOT kept").select("doc_id").distinct())
+    # A few ids go to every task, so that no text moves; more are joined by a shuffle.
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

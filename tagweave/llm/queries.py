@@ -8,25 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm import (chat, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, quality,
                           repeats)
-from tagweave.llm.common import table
-from tagweave.session import ship_package
+from tagweave.llm.common import prepare, table
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into power-of-two sequences of at most 2048 tokens."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    ship_package(spark)
+    prepare(spark)
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by source."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
@@ -37,13 +36,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets are similar to 0.85."""
-    ship_package(spark)
+    prepare(spark)
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
 def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the nearest learned centroid."""
-    ship_package(spark)
+    prepare(spark)
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
@@ -54,19 +53,19 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
-    ship_package(spark)
+    prepare(spark)
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document that earlier documents hold in a 50-byte string."""
-    ship_package(spark)
+    prepare(spark)
     return repeats.removals(table(spark, sf_dir, "documents"))
 
 
 def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, with its loss mask, and conversation -7, whose texts hold control strings."""
-    ship_package(spark)
+    prepare(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
