@@ -212,22 +212,23 @@ def l10_ntuples(t):
                       "item_id")
 
 
-_DRAW = "('0x' || substr(md5(concat('5', ':', draw::VARCHAR, ':', '{n}')), 1, 8))::BIGINT / 4294967296.0"
+_DRAW = "('0x' || substr(md5(concat('5', ':', model_id, '-', draw, ':', '{n}')), 1, 8))::BIGINT / 4294967296.0"
 
 
 @register("l11_param_draws", f"""
-SELECT CAST(draw AS INTEGER) AS draw,
+SELECT model_id, CAST(draw AS INTEGER) AS draw,
   CAST(1 + floor(({_DRAW.format(n='svd_tokens')}) * (200 - 1)) AS INTEGER) AS n_components,
   CAST(2 + floor(({_DRAW.format(n='n_neighbors')}) * (15 - 2)) AS INTEGER) AS n_neighbors,
   round(-20.0 * ln(1.0 - ({_DRAW.format(n='gamma')})), 6) AS gamma,
   (['knn', 'rbf'])[CAST(floor(({_DRAW.format(n='kernel')}) * 2) + 1 AS INTEGER)] AS kernel,
   round({_DRAW.format(n='w_message')}, 6) AS w_message
-FROM range(20) g(draw)""")
+FROM v_models, range(20) g(draw)""", ("v_models",))
 def l11_param_draws(t):
-    """20 random hyper-parameter draws: randint, expon, choice, weights."""
-    d = t.spark.range(20).select(F.col("id").alias("draw"))
-    draw = F.col("draw")
-    return d.select(draw.cast("int").alias("draw"),
+    """20 random hyper-parameter draws for each model to be trained:
+    randint, expon, choice, weights."""
+    d = t.views.models().select("model_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    draw = F.concat_ws("-", F.col("model_id").cast("string"), F.col("k").cast("string"))
+    return d.select("model_id", F.col("k").cast("int").alias("draw"),
                     S.uniform_int(5, draw, "svd_tokens", 1, 200).alias("n_components"),
                     S.uniform_int(5, draw, "n_neighbors", 2, 15).alias("n_neighbors"),
                     F.round(S.expon(5, draw, "gamma", 20.0), 6).alias("gamma"),
