@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,45 +79,61 @@ def base_places(flat: bytes) -> list[tuple[str, int]]:
 
 @lru_cache(maxsize=4)
 def _compiled(notices: tuple, chars_per_edit: int) -> list[tuple]:
-    """(label, notice, edits, pieces, pattern) of each notice."""
+    """(label, notice, edits, pieces by their first character, pattern) of each notice."""
     out = []
     for label, notice in notices:
         edits = len(notice) // chars_per_edit
         cut = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
-        pieces = tuple(notice[a:b].encode() for a, b in zip(cut, cut[1:]))
-        out.append((label, notice, edits, pieces, regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice)}){{e<={edits}}}(?![^ ])")))
+        pieces = tuple((a, notice[a:b]) for a, b in zip(cut, cut[1:]))
+        out.append((label, notice, edits, pieces, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
     return out
 
 
+def _spans(flat: bytes, notice: str, edits: int, pieces: tuple, pattern: regex.Pattern) -> dict[tuple[int, int], int]:
+    """Edits of every run of whole words, as bytes of ``flat``, that has the exact words of the notice and at most
+    ``edits`` edits. Each piece found is looked at on its own: what comes before and after it is within ``edits``
+    characters (of four bytes at most) of what the notice has there."""
+    exact, n, wide = _EXACT.findall(notice), len(notice), 4 * edits
+    out: dict[tuple[int, int], int | None] = {}
+    for a, piece in pieces:
+        seed, before, after = piece.encode(), len(notice[:a].encode()), len(notice[a:].encode())
+        for at in _finds(flat, seed):
+            # A word starts after a space and ends before one; there is a space at both ends of the text.
+            starts = [i + 1 for i in _finds(flat, b" ", max(0, at - before - wide - 1), min(at, at - before + wide))
+                      if abs(len(flat[i + 1:at].decode("utf-8", "replace")) - a) <= edits]
+            if not starts:
+                continue
+            ends = _finds(flat, b" ", max(at + len(seed), at + after - wide), at + after + wide + 1)
+            for lo in starts:
+                for hi in ends:
+                    if (lo, hi) in out:
+                        continue
+                    text = flat[lo:hi].decode("utf-8", "replace")
+                    m = pattern.fullmatch(text) if abs(len(text) - n) <= edits and _EXACT.findall(text) == exact else None
+                    out[lo, hi] = sum(m.fuzzy_counts) if m else None
+    return {k: v for k, v in out.items() if v is not None}
+
+
 def fuzzy_places(flat: bytes, notices: tuple = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int, float]]:
-    """(label, first word, last word, edits, score) of every notice found; a place is reported once for each notice."""
+    """(label, first word, last word, edits, score) of every notice found; a place is reported once for each notice:
+    of spans that share a word the one with the fewest edits stays, then the first, then the longest."""
     out = []
     for label, notice, edits, pieces, pattern in _compiled(notices, chars_per_edit):
-        reach = len(notice) + 4 * edits + 1       # an edit may put in a character of four bytes
-        windows: list[list[int]] = []
-        for seed in sorted({(p, at) for p in set(pieces) for at in _finds(flat, p)}, key=lambda x: x[1]):
-            lo, hi = max(0, seed[1] - reach), min(len(flat), seed[1] + len(seed[0]) + reach)
-            lo, hi = flat.rfind(b" ", 0, lo + 1), flat.find(b" ", max(0, hi - 1))
-            lo, hi = max(lo, 0), (len(flat) if hi < 0 else hi + 1)
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(hi, windows[-1][1])
-            else:
-                windows.append([lo, hi])
-        exact = _EXACT.findall(notice)
-        for lo, hi in windows:
-            text = flat[lo:hi].decode("utf-8", "replace")
-            for m in pattern.finditer(text):
-                if not m[0].strip() or _EXACT.findall(m[0]) != exact:
-                    continue
-                first = flat.count(b" ", 0, lo) + text.count(" ", 0, m.start() + (m[0][:1] == " ")) - 1
-                n = sum(m.fuzzy_counts)
-                out.append((label, first, first + len(m[0].split()) - 1, n, 1 - n / len(notice)))
+        spans, taken = _spans(flat, notice, edits, pieces, pattern), []
+        for lo, hi in sorted(spans, key=lambda s: (spans[s], s[0], -s[1])):
+            i = bisect(taken, (lo, hi))
+            if (i == 0 or taken[i - 1][1] < lo) and (i == len(taken) or hi < taken[i][0]):
+                taken.insert(i, (lo, hi))
+        first, at = -1, 0
+        for lo, hi in taken:
+            first, at, n = first + flat.count(b" ", at, lo), lo, spans[lo, hi]
+            out.append((label, first, first + flat.count(b" ", lo, hi), n, 1 - n / len(notice)))
     return out
 
 
-def _finds(flat: bytes, piece: bytes) -> list[int]:
-    out, at = [], -1
-    while (at := flat.find(piece, at + 1)) >= 0:
+def _finds(flat: bytes, piece: bytes, lo: int = 0, hi: int | None = None) -> list[int]:
+    out, at = [], lo - 1
+    while (at := flat.find(piece, at + 1, hi)) >= 0:
         out.append(at)
     return out
 

@@ -73,3 +73,39 @@ def test_planted_lines(spark):
         marked = re.search(r"Licensed under|rights reserved|MIT License|Public License", r["text"])
         assert bool(marked) == bool(got[r["doc_id"]]["labels"])
         assert (got[r["doc_id"]]["score"] > 0) == bool(marked)
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_places(text):
+    """Every run of words against every notice; of runs that share a word the best stays."""
+    w, out = license_scan.normal(text)[0].decode().split(), []
+    for label, notice in license_scan.NOTICES:
+        most, exact, found, taken = len(notice) // license_scan.CHARS_PER_EDIT, license_scan._EXACT.findall(notice), [], []
+        for i in range(len(w)):
+            for j in range(i, len(w)):
+                run = " ".join(w[i:j + 1])
+                if abs(len(run) - len(notice)) <= most and license_scan._EXACT.findall(run) == exact:
+                    found.append((edits_between(notice, run), i, -j))
+        for n, i, j in sorted(f for f in found if f[0] <= most):
+            if all(-j < a or i > b for a, b, _ in taken):
+                taken.append((i, -j, n))
+        out += [(label, *t) for t in sorted(taken)]
+    return out
+
+
+def test_near_notices_do_not_hide_each_other():
+    mit, gpl = "relesed under the mit license", "under gnu genral publc license version 3 or later and gnu general public license version 2 only"
+    texts = [f"{mit} foo bar released under the mit license baz", gpl, f"{mit} {mit} {mit} released under the mit license {mit}",
+             "all right reserved all rights reserved all rihts reserved", "licensed under cc by sa 4 0 licenced undr cc by nc 4 0 licensed under cc by 4 0",
+             "é all righté reserved 𝒜 all rights𝒜reserved all rights reserved", "licensed under the apache licence version 1 0 licensd undr the apache license version 2 0"]
+    for text in texts:
+        assert [f[:4] for f in license_scan.fuzzy_places(license_scan.normal(text)[0])] == brute_places(text), text
+    assert [f[1] for f in brute_places(texts[0])] == [0, 7] and [f[0] for f in brute_places(gpl)] == ["gpl-3.0", "gpl-2.0"]
