@@ -22,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,6 +43,9 @@ _MARK = "\x01"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _END = np.array([END_ID], dtype="<u4")
 
+#: Some marks join only the small letter in NFC (U+0308, U+030A, U+030C, U+0331, all of this lead byte).
+_LEAD, _MARKED = re.compile(b"\xcc"), r"[A-Z]\p{M}"
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int")
 
 
@@ -49,6 +54,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ends_in_letter(stem: str) -> bool:
+    """Whether the vocabulary still has a letter there, after NFC and lower case, so that marks behind it stand apart."""
+    last = stem[-1]
+    return last.isalpha() and (last.isascii() or unicodedata.is_normalized("NFC", stem) and last.lower()[-1].isalpha())
+
+
 class WordIds:
     """Ids of texts with a bounded cache by word, in two generations: frequent words stay."""
 
@@ -79,7 +90,7 @@ class WordIds:
                 ids[w] = known
                 continue
             stem = w.rstrip(_MARKS)
-            if len(stem) != len(w) and stem and stem[-1].isalpha() and "<|" not in w:
+            if len(stem) != len(w) and stem and _ends_in_letter(stem) and "<|" not in w:
                 ends.append((w, stem, w[len(stem):]))
                 new.update(ends[-1][1:])
             else:
@@ -98,8 +109,11 @@ class WordIds:
         """The ids of each text and the end token, text by text. Words are cut,
         numbered and gathered as arrays; only distinct words reach the cache."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()), "")
-        # The vocabulary lowers letters, so A-Z can be lowered before, unless that could make a special token.
-        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        # The vocabulary lowers letters, so A-Z can be lowered before, unless that could make a special token or another letter.
+        as_is, data = pc.match_substring(texts, "<|"), texts.buffers()[2]
+        if data is not None and _LEAD.search(data):
+            as_is = pc.or_(as_is, pc.match_substring_regex(texts, _MARKED))
+        low = pc.if_else(as_is, texts, pc.ascii_lower(texts))
         lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()

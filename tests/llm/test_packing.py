@@ -63,3 +63,22 @@ def test_piece_lengths():
         assert sum(x) == n and all(v & (v - 1) == 0 for v in x)
     with pytest.raises(ValueError):
         packing.pack(None, max_len=100)
+
+
+def test_letters_before_marks(tokenizer):
+    """Letters that NFC or lower case end in a combining mark are joined with the marks behind them."""
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    enc = packing.WordIds(None)
+    for before, after in (("", "."), ("dak", ",")):
+        words = [before + c + after for c in letters]
+        got = enc.encode_all(words)
+        want = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        assert [w for w, g, e in zip(words, got, want) if g.tolist() != [*e.ids, 1]] == []
+
+
+def test_letters_with_combining_marks(tokenizer):
+    """NFC joins some marks with the small letter only, so A-Z before a mark is not lowered first."""
+    letters = [chr(c) for c in range(ord("A"), ord("Z") + 1)]
+    words = [a + b for a in letters for b in map(chr, range(0x300, 0x370))] + [f"{a}̴̈." for a in letters]
+    got, want = packing.WordIds(None).encode_all(words), tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    assert [w for w, g, e in zip(words, got, want) if g.tolist() != [*e.ids, 1]] == []
