@@ -65,3 +65,24 @@ def test_closed_syncmers_by_brute_force(spark):
 def test_no_python_on_the_main_path(small):
     plan = fingerprints.fingerprints(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_common_passage_of_long_texts(spark):
+    """Long texts that share one passage are alike, and the fingerprint holds every anchor with its position."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = words("p", 60)
+    rows = [(2 * k + j, f"{words(f'{k}{x}', 5_000)} {passage} {words(f'{k}{x}t', 50)}") for k in range(5) for j, x in enumerate("ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    assert all(0 < r["near_next"] < 0.05 for r in got.values())
+    for r in docs.select("doc_id", fingerprints.anchors(F.col("text")).alias("a")).collect():
+        assert got[r["doc_id"]]["fingerprint"] == "".join(f"{a['pos']:08X}{a['hash'] % 2**64:016X}" for a in r["a"]) and len(r["a"]) > 2_000
+
+
+def test_order_of_anchors_counts(spark):
+    """Two passages in the other order have the same anchors, but not all the same neighbours."""
+    a, b, gap = (" ".join(f"{x}{i}" for i in range(30)) for x in ("a", "b", "g"))
+    docs = spark.createDataFrame([(1, f"{a} {gap} {b}"), (2, f"{b} {gap} {a}")], "doc_id long, text string")
+    r = docs.select(fingerprints.units(fingerprints.fingerprint(F.col("text"))).alias("u")).collect()
+    near = fingerprints.fingerprints(docs).first()["near_next"]
+    assert 0.5 < near < 1 and near == len(set(r[0]["u"]) & set(r[1]["u"])) / len(set(r[0]["u"]) | set(r[1]["u"]))
