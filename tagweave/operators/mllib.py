@@ -271,13 +271,14 @@ def compare(train: DataFrame, test: DataFrame, n_classes: int, dim: int, names:
 
 
 # --- L12 grid search ---------------------------------------------------------------------------------------
-def grid_search_ngrams(train: DataFrame, n_features: int = 4096, folds: int = 3, parallelism: int = 2):
+def grid_search_ngrams(train: DataFrame, min_df: float = 3, max_df: float = 0.95, folds: int = 3, parallelism: int = 2):
     """Cross-validated choice between n-gram ranges (1,1) and (1,2) for a
-    TF-IDF + linear SVM (one-vs-rest) pipeline."""
+    TF-IDF + linear SVM (one-vs-rest) pipeline. Every n-gram of ``min_df``
+    documents that at most the share ``max_df`` of them has is a feature."""
     ngram = SQLTransformer(statement=NGRAM_SQL[1])
     stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD_PATTERN, gaps=False),
               StopWordsRemover(inputCol="words", outputCol="tokens", stopWords=ENGLISH_STOP_WORDS), ngram,
-              HashingTF(inputCol="grams", outputCol="tf", numFeatures=n_features),
+              CountVectorizer(inputCol="grams", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=(1 << 31) - 1),
               IDF(inputCol="tf", outputCol="features"),
               OneVsRest(classifier=LinearSVC(regParam=1e-3, maxIter=30), labelCol="y", parallelism=4)]
     grid = ParamGridBuilder().addGrid(ngram.statement, [NGRAM_SQL[1], NGRAM_SQL[2]]).build()

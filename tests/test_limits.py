@@ -172,3 +172,14 @@ def test_cleaning_rules(spark):
     assert one(T.strip_footer, "one line") == "one line" and one(T.strip_footer, "---\nx") == "---\nx"
     assert one(T.strip_quotes, "keep\n> q\n| q\nBob writes in x\nAnn says: hi\nIn article 5\nx In article\nB wrote: y") == "keep\nx In article"
     assert one(T.html_unescape, "&#65;&#x42;&amp;#67; &lt;b&gt; &hellip;&#0;&#1114112;") == "AB&#67; <b> …"
+
+
+def test_grid_search_counts_its_vocabulary(spark):
+    """All n-grams of three documents that 95 % at most have, without collisions."""
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(["common", "rare" if i < 2 else "often", "good" if i % 2 else "bad", *(words if i < 6 else [])]) for i in range(20)]
+    train = spark.createDataFrame([(i, t, float(i % 2)) for i, t in enumerate(texts)], "id long, text string, y double")
+    cv = ML.grid_search_ngrams(train.coalesce(1), folds=2)
+    vocabulary = next(s.vocabulary for s in cv.bestModel.stages if hasattr(s, "vocabulary"))
+    assert {w for w in vocabulary if " " not in w} == {*words, "often", "good", "bad"}
+    assert len(cv.avgMetrics) == 2
