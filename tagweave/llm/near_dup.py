@@ -3,8 +3,9 @@ and components by alternating large-star and small-star.
 
 1. ``signatures``: per document the set of word shingles (A-Z lowered, words
    ``[^\\x20\\x09-\\x0D]+``, hashed to 64 bits), a 128-bit digest of that set and
-   the minima of 100 universal hash functions in 20 bands of 5. Two sets of
-   similarity 0.85 share no band with probability under 1e-5.
+   the minima of universal hash functions in bands of 5, of which there are 20
+   or as many as the limit needs: two sets at the limit share no band with
+   probability under 1e-5.
 2. Documents with equal sets form a class, found by a partially aggregated
    count on the digest; only the class representative (smallest id) goes on.
 3. Hub round: in every band bucket each member is paired with one hub, chosen
@@ -36,6 +37,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +52,9 @@ from tagweave.llm.common import stored
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-BANDS, ROWS = 20, 5
+ROWS = 5
+#: The chance that a pair at the limit shares no band.
+MISSED = 1e-5
 #: Share of equal minima below which a pair is not compared: over five standard
 #: deviations under the limit for 100 minima.
 ESTIMATE_SLACK = 0.2
@@ -120,7 +124,13 @@ def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
-def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands by which a pair at the limit is missed with a probability under ``MISSED``: 20 at 85, 29 at 80."""
+    share = (percent / 100) ** rows
+    return math.ceil(math.log(MISSED) / math.log1p(-share)) if share < 1 else 1
+
+
+def signatures(docs: DataFrame, shingle_words: int, bands: int, rows: int = ROWS) -> DataFrame:
     """doc_id, n (set size), d1, d2 (digest of the set), sig (minima), keys (one per band)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _hash_family(bands * rows)
@@ -318,7 +328,7 @@ def _labels(buckets: DataFrame, members: DataFrame, percent: int, k: int) -> Dat
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    sigs = stored(signatures(docs, shingle_words))
+    sigs = stored(signatures(docs, shingle_words, max(20, bands_for(percent))))
     classes = stored(sigs.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     # Should an id stand for several sets, one of them is its node.

@@ -97,3 +97,15 @@ def test_components(spark):
     want = {i: 0 for i in range(501)} | {1000 + i: 1000 for i in range(200)} | {2000 + i: 2000 + i // 2 * 2 for i in range(100)}
     assert got == want
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_follow_the_limit(spark, monkeypatch):
+    for percent in (50, 70, 80, 85, 90):
+        assert (1 - (percent / 100) ** 5) ** near_dup.bands_for(percent) < 1e-5
+    assert (near_dup.bands_for(85), near_dup.bands_for(80)) == (20, 29)
+    real, bands = near_dup.signatures, []
+    monkeypatch.setattr(near_dup, "signatures", lambda docs, k, n: bands.append(n) or real(docs, k, n))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    for percent in (80, 85):
+        assert result(near_dup.near_duplicates(docs, 3, percent)) == brute([(1, "a b c d e f"), (2, "a b c d e f")], 3, percent)
+    assert bands == [29, 20]
