@@ -13,14 +13,16 @@ turned into one space, trimmed, blocks joined by one line feed. Nothing is
 capped. Headings inside the article belong to it.
 
 Defined results: null or empty html gives ''; unclosed tags and comments end
-with the page; repeated rows are extracted each; empty tables give empty
-results; other columns are ignored.
+with the page; end tags of what isn't open are passed over, so long pages take
+linear time; a numeric reference to no character is U+FFFD; repeated rows are
+extracted each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,11 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)", re.S)
+_HEAD_END = re.compile(r"</head\s*+>|(?=<body\b)", re.I)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: A decimal reference of more digits than any character has.
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]+)")
 
 # Fixed values of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
@@ -79,21 +84,31 @@ def _hints(attrs: str) -> int:
     return said
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; a number that no character has, however long, is U+FFFD."""
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: "&#" + (m[1] if len(m[1]) < 8 else "1114112"), text)
+    return html.unescape(text)
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The flat text blocks of a page in page order."""
+    """The flat text blocks of a page in page order, in time linear in the page:
+    an end tag that nothing open matches costs one look at a counter."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]     # name, outside, inside, hint
+    opened: Counter[str] = Counter()                             # of the names in the stack
+    head_ends = True
     text: list[str] = []
     link_text: list[str] = []
     link, heading, at = 0, 0, 0
 
     def close() -> None:
         nonlocal text, link_text
-        flat = " ".join(html.unescape("".join(text)).split())
+        flat = " ".join(decoded("".join(text)).split())
         if flat:
             words = flat.count(" ") + 1
-            linked = len(" ".join(link_text).split())
+            linked = len(decoded("".join(link_text)).split())
             _, outside, inside, hint = stack[-1]
             out.append(Block(flat, words, min(1.0, linked / words), outside, inside, hint, heading))
         text, link_text = [], []
@@ -103,6 +118,8 @@ def blocks(page: str | None) -> list[Block]:
             text.append(s)
             if link:
                 link_text.append(s)
+            elif link_text and link_text[-1] != " ":
+                link_text.append(" ")
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -129,13 +146,19 @@ def blocks(page: str | None) -> list[Block]:
         elif name != "hr":
             heading = 0 if name in ("p", "div", "article", "section", "body") else heading
         if ends:
-            at_name = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if at_name:
-                del stack[at_name:]
-        elif name in RAW:
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
+        elif name == "head":
             # "head" has no text of its own; it ends where the body begins at the latest.
-            end = re.compile(r"</head\s*>|(?=<body\b)" if name == "head" else rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if name != "head" else at)
+            end = _HEAD_END.search(page, at) if head_ends else None
+            head_ends = end is not None
+            at = end.end() if end else at
+        elif name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
         elif name not in VOID and name != "p" and not attrs.endswith("/"):
             _, outside, inside, hint = stack[-1]
             said = _hints(attrs) if attrs else 0
@@ -148,6 +171,7 @@ def blocks(page: str | None) -> list[Block]:
             elif said > 0 and hint == 0:
                 hint = 1
             stack.append((name, outside, inside, hint))
+            opened[name] += 1
     close()
     return out
 
@@ -184,26 +208,30 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
         ('<div class="post"><div class="notice">{t60}</div>', [0], '<p>{l6}</p><div id="comments"><p>{t45}</p></div></div>', [0, 0], 1),
         ("<div><p>{l20}</p>", [0], "<p>{l40}</p></div>", [0], 0),
     ]
-    lengths = [(1, 40, 3), (80, 120, 60), (15, 2, 200), (300,), (6, 35, 1, 28)]
+    # Short blocks at the start, between long ones, next to each other and at the end; a page of one block.
+    lengths = [(1, 40, 3), (80, 120, 60), (15, 2, 200), (300,), (6, 35, 1, 28), (1,), (5,), (12,), (2, 3), (40, 4), (4, 60),
+               (90, 1, 2, 1, 50), (27, 26, 6, 5, 4, 3, 2, 1), (3, 2, 8, 30, 5), (20, 5, 6, 33, 2, 140, 1), (9, 9, 9), (3, 250, 6, 3, 26, 4)]
+    between = [(30, 30), (60, 5, 40), (25, 1, 80, 3, 120), (150, 12, 45), (33, 2, 2, 41), (300,), (45, 45, 45), (22, 70)]
     fill = {f"t{n}": w(n) for n in range(1, 61)} | {f"l{n}": a(n) for n in range(1, 41)}
     out = []
     for before, b, after, c in around:
         for start, s, end, e, marked in inner:
-            for ns in lengths:
-                if not marked:      # unmarked short text belongs to the article between long blocks only
-                    ns = (30, *ns, 30)
-                body = "".join(f"<p>{w(n)}</p>" for n in ns)
-                page = "".join((before, start, "{body}", end, after)).format(body=body, **fill)
+            # Where nothing marks the container, words and links tell: short text belongs to the article between long blocks only.
+            for ns in lengths if marked else between:
+                paragraphs = [f"<p>{w(n)}</p>" for n in ns]
+                if marked and len(ns) > 2:      # a heading may link to its own page
+                    paragraphs[0] = f"<h2>{a(ns[0])}</h2>" if ns[0] < 10 else paragraphs[0]
+                page = "".join((before, start, "{body}", end, after)).format(body="".join(paragraphs), **fill)
                 out.append((page, [*b, *s, *[1] * len(ns), *e, *c]))
     return out
 
 
-def train(spark: SparkSession, depth: int = 6) -> tuple:
+def train(spark: SparkSession, depth: int = 9) -> tuple:
     """The tree as nested (feature, threshold, left, right) or a leaf's 0.0 / 1.0."""
     rows = [(*f, float(y)) for page, labels in labelled_pages() for f, y in zip(features(blocks(page)), labels, strict=True)]
     data = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in (*FEATURES, "label"))).coalesce(1)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(data)
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=256, seed=1).fit(data)
 
     def nested(node):
         if node.getClass().getSimpleName() == "LeafNode":

@@ -47,7 +47,7 @@ def test_tree_fits_the_labelled_table(tree):
 def test_pages_table(spark):
     import html
     import re
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
     for r in pages.collect():
         body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
@@ -62,3 +62,35 @@ def test_edge_rows(spark):
     got = sorted((str(r["page_id"]), r["url"], r["n_chars"]) for r in html_text.extract(df).collect())
     assert got == [("1", "u", 0), ("2", "u", 0), ("2", "u", 0), ("3", "u", 5000 * (len(P) + 1) - 1), ("None", None, len(P))]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_short_blocks_of_the_article_stay(tree):
+    """One-word blocks at the start, between long ones and at the end, whatever marks the container."""
+    body = ["Yes.", P, "No.", "So it is.", P, P, "Hm.", "Well then.", P, "End."]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=entry-content>", "</div>")):
+        for before in ("", f"<nav><a href=x>Home</a></nav><div class=ad>{P}</div>", f"<header><p>{P}</p></header>"):
+            for after in ("", f"<footer>{P}</footer>", f"<div id=comments><p>{P}</p><p>Nice.</p></div>"):
+                assert html_text.main_text(before + start + inner + end + after, tree) == "\n".join(body)
+
+
+def test_words_and_links_tell_where_nothing_is_marked(tree):
+    """No container, class or id that says anything: words and link density of a block and its neighbours decide."""
+    menu = "".join(f"<div><a href={i}>Item {i}</a></div>" for i in range(8))
+    page = f"{menu}<div>{P} {P}</div><div>{P} {P}</div><div>Indeed.</div><div>{P} {P}</div>{menu}<div>All mine</div><div>2020</div>"
+    assert html_text.main_text(page, tree) == f"{P} {P}\n{P} {P}\nIndeed.\n{P} {P}"
+    links = "".join(f"<a href={i}>some linked words in a row</a> " for i in range(10))
+    assert html_text.main_text(f"<div>{P} {P}</div><div>{links}</div><div>{P} {P}</div>", tree) == f"{P} {P}\n{P} {P}"
+
+
+def test_long_pages_in_linear_time():
+    import time
+    for make in (lambda n: "<div>" * n + "</p>" * n + "</section>" * n, lambda n: "<head>" * n, lambda n: "<div>" * n + "</div>" * n,
+                 lambda n: "<a '>" * n, lambda n: "<script>" * n, lambda n: "<p>x</q>" * n):
+        t = time.perf_counter()
+        html_text.blocks(make(100_000))
+        assert time.perf_counter() - t < 10
+
+
+def test_references():
+    assert html_text.decoded("&#65;&#00000000000065;&#x41;&amp;&#" + "9" * 9000 + ";&#" + "0" * 9000 + "66;&nosuch;") == "AAA&\ufffdB&nosuch;"
