@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagweave.llm import (chat, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, quality,
-                          repeats)
+from tagweave.llm import (chat, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, periodic,
+                          quality, repeats)
 from tagweave.llm.common import prepare, table
 
 
@@ -72,8 +74,35 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(added)).drop("formatted", "spans")
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, in one document of ten with a stretch that repeats to the end: every word from ``a`` on is the one
+    that stands ``(i - a) % p`` behind word ``a``. A document without an id stays as it is."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and its text without the repeats."""
+    prepare(spark)
+    found = periodic.collapsed_runs(table(spark, sf_dir, "documents"), looped)
+    # Runs come by start, then period: of equal exponents the first stays.
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda most, r: F.when(
+        most.isNull() | (r["length"] * most["period"] > most["length"] * r["period"]), r).otherwise(most))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_html_blocks, op3_pivotal_mixing, op4_quality_rules, op5_minhash_near_dedup,
-    op6_centroid_language, op7_closed_syncmers, op8_fuzzy_notices, op9_repeated_passages, op10_incremental_chat)}
+    op6_centroid_language, op7_closed_syncmers, op8_fuzzy_notices, op9_repeated_passages, op10_incremental_chat,
+    op13_grammar_runs)}
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
