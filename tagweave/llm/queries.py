@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import (chat, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, periodic,
-                          quality, repeats)
+                          quality, repeats, spelling)
 from tagweave.llm.common import prepare, table
 
 
@@ -74,6 +74,18 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(added)).drop("formatted", "spans")
 
 
+def misspelt(doc_id: str, word: bytes) -> bytes:
+    """The word, in one case of 199 without one character, chosen by document and word."""
+    h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), zlib.crc32(f"{doc_id}:".encode()))
+    return word if h % 199 else word[:h % len(word)] + word[h % len(word) + 1:]
+
+
+def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six characters and more with their near words, forms and roots."""
+    prepare(spark)
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), edit=misspelt))
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words, in one document of ten with a stretch that repeats to the end: every word from ``a`` on is the one
     that stands ``(i - a) % p`` behind word ``a``. A document without an id stays as it is."""
@@ -103,6 +115,6 @@ def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_html_blocks, op3_pivotal_mixing, op4_quality_rules, op5_minhash_near_dedup,
     op6_centroid_language, op7_closed_syncmers, op8_fuzzy_notices, op9_repeated_passages, op10_incremental_chat,
-    op13_grammar_runs)}
+    op12_variable_grams, op13_grammar_runs)}
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
