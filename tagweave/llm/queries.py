@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import (chat, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, periodic,
+from tagweave.llm import (chat, epsilon_grid, fingerprints, html_text, language_id, license_scan, mixing, near_dup, packing, periodic,
                           quality, repeats, spelling)
 from tagweave.llm.common import prepare, table
 
@@ -74,6 +74,12 @@ def op10_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(added)).drop("formatted", "spans")
 
 
+def op11_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors whose cosine is 0.95 or more."""
+    prepare(spark)
+    return epsilon_grid.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def misspelt(doc_id: str, word: bytes) -> bytes:
     """The word, in one case of 199 without one character, chosen by document and word."""
     h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), zlib.crc32(f"{doc_id}:".encode()))
@@ -115,6 +121,6 @@ def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_html_blocks, op3_pivotal_mixing, op4_quality_rules, op5_minhash_near_dedup,
     op6_centroid_language, op7_closed_syncmers, op8_fuzzy_notices, op9_repeated_passages, op10_incremental_chat,
-    op12_variable_grams, op13_grammar_runs)}
+    op11_epsilon_grid, op12_variable_grams, op13_grammar_runs)}
 
 SQL: dict[str, str] = {"op4_quality_rules": quality.SQL}
