@@ -29,9 +29,13 @@ and joins whose hot keys Spark's skew join splits.
 
 Defined results: a document without words (or null text) has an empty set, is
 linked with nothing and kept; with fewer words than a shingle, the whole
-sequence is the one shingle; rows that repeat a doc_id are one node by their
-set and get equal rows; empty tables give empty results; other columns are
-ignored.
+sequence is the one shingle; a node is a set, so every text of a doc_id finds
+its links. In ``near_duplicates`` the texts of one doc_id belong to one
+component; a row without doc_id has the component of its set, null if no row of
+it has an id, and is not kept where one has. ``deduplicated`` goes by sets
+alone: of each component of sets one row stays, the least doc_id (null last),
+then the least text; other texts of that id stay if their sets are no copies.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,12 +146,12 @@ def signatures(docs: DataFrame, shingle_words: int, bands: int, rows: int = ROWS
                 if not len(s):
                     out.append((doc_id, 0, 0, 0, None, None))
                     continue
-                d1, d2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
+                d1, d2 = _digest(s)
                 sig = _minima(s, a, b)
                 acc = np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
                     acc = _mixed(acc * _MIX[0] + sig.reshape(bands, rows)[:, r].astype(np.uint64) * _MIX[1] + _MIX[2])
-                out.append((doc_id, len(s), int(d1), int(d2), sig.tobytes(), acc.view(np.int64)))
+                out.append((doc_id, len(s), d1, d2, sig.tobytes(), acc.view(np.int64)))
             frame = pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "sig", "keys"])
             frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
             yield frame
@@ -214,7 +218,9 @@ def _mixed_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
     component ``comp`` and the bucket's most frequent one, ``main``."""
     rows = rows.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
         "comp", F.coalesce("component", "rep")).drop("component")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"))
+    # Counted by component first: no task holds all components of a bucket.
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
     return rows.join(mixed.where("lo <> hi").select("key", "main"), "key")
 
 
@@ -326,34 +332,97 @@ def _labels(buckets: DataFrame, members: DataFrame, percent: int, k: int) -> Dat
     return components(links.unionByName(last)) if last.head(1) else label
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    sigs = stored(signatures(docs, shingle_words, max(20, bands_for(percent))))
-    classes = stored(sigs.where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    # Should an id stand for several sets, one of them is its node.
-    nodes = classes.groupBy("rep").agg(F.min(F.struct("n", "sig", "keys")).alias("v")).select("rep", "v.n", "v.sig", "v.keys")
+def _digest(words: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a set of shingles."""
+    d1, d2 = np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), dtype="<i8")
+    return int(d1), int(d2)
+
+
+def _with_digest(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (text, ...) with n, d1, d2 of their sets, as ``signatures`` has them."""
+    @F.pandas_udf("n long, d1 long, d2 long")
+    def digest(text: pd.Series) -> pd.DataFrame:
+        shingles = _shingler(k)
+        sets = [shingles(None if pd.isna(t) else t) for t in text.array]
+        return pd.DataFrame([(len(s), *(_digest(s) if len(s) else (0, 0))) for s in sets], columns=["n", "d1", "d2"])
+
+    return rows.withColumn("set", digest("text")).select(*rows.columns, "set.n", "set.d1", "set.d2")
+
+
+SET = ["d1", "d2", "n"]
+
+
+def _set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, d1, d2, ...) of every row; (node, rep = least doc_id, d1, d2, n) of every
+    class of equal sets; and (node, component) of the linked ones."""
+    sigs = stored(signatures(docs, k, max(20, bands_for(percent))))
+    classes = sigs.where("n > 0").groupBy(*SET).agg(
+        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = classes.select(F.col("node").alias("rep"), "n", "sig", "keys")
     keys = nodes.select("rep", "n", F.posexplode("keys").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     buckets = stored(keys.join(several, "key"))
     # Only what shares a bucket needs its text and signature again.
-    members = nodes.select("rep", "n", "sig").join(buckets.select("rep").distinct(), "rep")
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
-    members = stored(members.join(texts, "rep").groupBy("rep").agg(
+    members = classes.join(buckets.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    members = stored(members.select(F.col("node").alias("rep"), "n", "sig", "d1", "d2", F.col("rep").alias("doc_id")))
+    # Where all rows of an id have one set, any text of the id has it; else the digests tell.
+    several_sets = sigs.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("lo"), F.max(F.struct(*SET)).alias("hi")).where("lo <> hi OR doc_id IS NULL")
+    several_sets = stored(several_sets.select("doc_id"))
+    given = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    one = F.col("id") == F.col("doc_id")
+    plain = members.join(several_sets, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("rep", "doc_id")
+    texts = plain.join(given, one).select("rep", "text")
+    if several_sets.head(1):
+        again = given.join(several_sets, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text")
+        texts = texts.unionByName(_with_digest(again, k).join(members.select("rep", *SET), SET).select("rep", "text"))
+    members = stored(members.select("rep", "n", "sig").join(texts, "rep").groupBy("rep").agg(
         F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text").alias("text")))
-    label = _labels(buckets, members, percent, shingle_words)
-    found = classes.select("d1", "d2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select(
-        "d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
+    return sigs, classes.select("node", "rep", *SET), _labels(buckets, members, percent, k)
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    sigs, classes, label = _set_components(docs, shingle_words, percent)
+    sets = stored(sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *SET).distinct().join(classes.select("node", *SET), SET).select("doc_id", "node"))
+    first = sets.groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("doc_id", "first")
+    shared = stored(sets.join(first, "doc_id").select("doc_id", F.col("node").alias("a"), F.col("first").alias("b")))
+    if shared.head(1):
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shared.select("a", "b")))
+    of_class = stored(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = of_class.join(least, "component").select(*SET, "component_id")
+    out = sigs.select("doc_id", *SET).join(found, SET, "left")
+    # A text without words belongs to its id's component all the same.
+    empty = out.where("n = 0").select("doc_id", "n").join(
+        out.where("n > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.where("n > 0").select("doc_id", "n", "component_id").unionByName(empty).select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
-    found = near_duplicates(docs, shingle_words, percent)
-    gone = stored(found.where("NOT kept").select("doc_id").distinct())
+    """The rows of ``docs`` that stay: one of each component of sets, and all without words."""
+    sigs, classes, label = _set_components(docs, shingle_words, percent)
+    of_class = stored(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
+    # A component without ids has a null here, and one of its rows stays.
+    of_class = of_class.join(of_class.groupBy("component").agg(F.min("rep").alias("stays")), "component").select(*SET, "component", "stays")
+    several = stored(sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL").select("doc_id"))
+    gone = sigs.where("n > 0").select("doc_id", *SET).join(of_class, SET).where("doc_id <> stays").select("doc_id")
+    gone = stored(gone.unionByName(several.where("doc_id IS NOT NULL")).distinct())
     # A few ids go to every task, so that no text moves; more are joined by a shuffle.
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"`{c}`" for c in docs.columns]
+    out = docs.where("doc_id IS NOT NULL").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*columns)
+    if not several.head(1):
+        return out
+    # Rows that share an id, or have none, are told apart by their sets, then by what they hold.
+    held = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), "text")
+    held = held.join(several, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    held = stored(_with_digest(held, shingle_words).join(of_class, SET, "left"))
+    # A text of the staying id goes to whoever has it; the least one of a component's rows is that.
+    best = held.where("n > 0 AND id <=> stays").groupBy("component").agg(
+        F.min_by("row", F.struct("text", F.md5(F.to_json("row")))).alias("row"))
+    again = held.where("n = 0").select("row").unionByName(best.select("row")).select("row.*")
+    return out.unionByName(again.toDF(*docs.columns)).select(*columns)

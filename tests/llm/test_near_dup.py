@@ -87,6 +87,63 @@ def test_edge_rows(edge_docs, edge_rows, no_docs):
     assert 1 in ids and 2 not in ids and 4 in ids and None in ids
 
 
+def by_sets(rows, k, percent):
+    """The multiset of rows that stay, by all pairs of rows, whatever their ids."""
+    sets, parent = [shingles(t, k) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        s, t = sets[i], sets[j]
+        if s and t and 100 * len(s & t) >= percent * len(s | t):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    groups = {}
+    for i, r in enumerate(rows):
+        if sets[i]:
+            groups.setdefault(find(i), []).append(r)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    return sorted([r for r, s in zip(rows, sets) if not s] + [min(g, key=key) for g in groups.values()], key=str)
+
+
+def shared_ids(seed):
+    """Ids that stand for several texts, with near copies of each; repeated rows; rows without an id."""
+    rng = random.Random(seed)
+    text = lambda: [f"w{rng.randrange(300)}" for _ in range(120)]
+    a, b, c, d, e, f = (text() for _ in range(6))
+    j = " ".join
+    return [(7, j(a)), (7, j(b)), (3, edited(rng, a, 1)), (9, edited(rng, b, 1)), (20, edited(rng, b, 2)),
+            (11, j(c)), (11, j(c)), (11, j(c) + " tail"), (12, j(c)), (12, None), (13, ""), (13, j(c)), (13, ""),
+            (None, j(d)), (None, j(d)), (None, edited(rng, d, 1)), (30, edited(rng, d, 1)),
+            (None, j(e)), (None, j(e)), (None, edited(rng, e, 1)), (None, ""), (None, None),
+            (40, j(f)), (40, j(f)), (41, j(text())), (41, j(text())), (42, "one two")]
+
+
+def test_ids_of_several_texts(spark):
+    for seed in range(3):
+        rows = shared_ids(seed)
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = result(near_dup.near_duplicates(docs.where("doc_id IS NOT NULL"), 3, 85))
+        assert got == brute([r for r in rows if r[0] is not None], 3, 85)
+        assert {x[2] for x in got if x[0] in (3, 7, 9, 20)} == {3} and {x[2] for x in got if x[0] in (11, 12, 13)} == {11}
+        every = near_dup.near_duplicates(docs, 3, 85).where("doc_id IS NULL").collect()
+        assert sorted((r["component_id"] or 0, r["kept"]) for r in every) == [(0, True)] * 5 + [(30, False)] * 3
+
+
+def test_one_row_of_each_component_stays(spark):
+    for seed in range(3):
+        rows = shared_ids(seed)
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([(*r, 1, {"k": "v"}) for r in rows], "doc_id long, text string, rep int, node map<string, string>").repartition(4)
+        kept = near_dup.deduplicated(docs, 3, 85)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == by_sets(rows, 3, 85)
+
+
 def test_components(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(500)]
