@@ -166,11 +166,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """The mix itself in whole documents: each row of ``docs`` as often as its
     copies say (the last fraction of a source rounded), all columns as they were."""
-    sized = stored(_sized(docs))
-    n = (F.col("copies") + F.round("part")).cast("bigint")
-    units = copies(sized, source_targets(sized, weights, most), seed).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), n.alias("__n"))
-    same = (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-            & (size_of(F.col("text")) == F.col("__size")))
-    taken = docs.join(units.where("__n > 0"), same)
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    # Whole rows are one column beside the keys, so that no name of theirs clashes.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), size_of(F.col("text")).alias("words"))
+    sized = stored(keyed.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("words").alias("size")))
+    n = (F.col("copies") + F.round("part")).cast("bigint").alias("n")
+    units = copies(sized, source_targets(sized, weights, most), seed).select("doc_id", "source", "size", n).where("n > 0")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    taken = keyed.join(units, same).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
+    return taken.toDF(*docs.columns)

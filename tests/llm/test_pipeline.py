@@ -53,3 +53,40 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+CLASHING = ", __id long, __n int, __copy int, row string, id long, `of` string, words int, copy int, set string, d1 long, node long, rep int, stays int, component int"
+
+
+def written(spark, rows, folder):
+    """Rows of documents with extra columns, named as what the stages use inside, as a table of ``folder``."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + CLASHING
+    extra = (1, 2, 3, "r", 4, "o", 5, 6, "s", 7, 8, 9, 10, 11)
+    df = spark.createDataFrame([(*r, *extra) for r in rows], schema).repartition(3)
+    df.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_run_on_edge_rows(spark, edge_rows, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, rows without an id, clashing names."""
+    import random
+    rng = random.Random(8)
+    prose = lambda n: " ".join("the" if i % 9 == 0 else f"w{rng.randrange(4000)}" for i in range(n))
+    x, y = prose(150), prose(150)
+    rows = [*edge_rows, (70, x, "en", "a", 1), (70, x, "en", "a", 1), (None, y, None, None, None), (None, y, None, None, None), (71, x, "en", None, 2)]
+    folder = written(spark, rows, tmp_path)
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    names = at.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, folder)
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        at = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        assert at.columns == names or k == 4
+        if k == 1:
+            texts = [r["text"] for r in at.select("text").collect()]
+            assert texts.count(x) == texts.count(y) == 1
+    assert corpus_pipeline.run(spark, folder).count() == at.count() > 0
+
+
+def test_run_on_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, [], tmp_path)).count() == 0
