@@ -3,7 +3,7 @@
 Every text is a vector of hashed character 1- to 3-grams over its letters,
 weighted by TF-IDF and normalised. Document frequencies are counted over all
 documents to learn from. For each language a bounded, documented sample (the
-``sample`` rows with the smallest hash of their id) is clustered by spherical
+``sample`` ids with the smallest hash, with the least text of each) is clustered by spherical
 k-means into several centroids, each language in its own task. A text takes the
 language of the centroid with the largest cosine. Its distance is held against
 the spread of that centroid: far ones are marked ``rejected``.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 BUCKETS = 8192
 CENTROIDS = 4
 SAMPLE = 400
+#: So many times the sample pass the threshold before ids are ranked.
+MARGIN = 4
 ROUNDS = 10
 #: A text is rejected when its cosine is under this share of the least cosine
 #: among the sample rows of its centroid.
@@ -120,12 +122,24 @@ def _clustered(v: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarr
     return c, np.array([s[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
 
 
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang): of each language the ``sample`` ids with the smallest hash. A
+    threshold that some ``MARGIN`` times as many ids pass comes first, so that the
+    task that ranks a language's ids gets a bounded number, however many there are."""
+    ids = rows.select("doc_id", "lang").distinct()
+    share = ids.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(MARGIN * sample)) / F.count(F.lit(1))).alias("share"))
+    hashed = ids.withColumn("h", F.xxhash64("doc_id"))
+    # The hash as a fraction of its range; a share of 1 takes all.
+    low = hashed.join(share, "lang").where("share >= 1 OR h / 18446744073709551616D + 0.5D < share")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return low.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang")
+
+
 def learn(docs: DataFrame, buckets: int = BUCKETS, centroids: int = CENTROIDS, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
     """The model: idf, and centroid matrix, languages and least cosines by centroid."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     idf = _idf(rows, buckets)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    chosen = _sample(rows, sample)
 
     def cluster(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["doc_id", "text"])
@@ -137,7 +151,8 @@ def learn(docs: DataFrame, buckets: int = BUCKETS, centroids: int = CENTROIDS, s
 
     # At most ``sample`` ids a language: broadcast while that is few, else joined by a shuffle.
     few = sample * rows.select("lang").distinct().count() <= BROADCAST_IDS
-    found = rows.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"]).groupBy("lang").applyInPandas(
+    held = rows.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = held.groupBy("lang").applyInPandas(
         cluster, "lang string, j int, centroid binary, least double").collect()
     found = sorted(found, key=lambda r: (r["lang"].encode(), r["j"]))
     return {"idf": idf, "langs": [r["lang"] for r in found], "least": np.array([r["least"] for r in found]),

@@ -63,17 +63,15 @@ def normal(text: str | None) -> tuple[bytes, int]:
     return (b" " + b" ".join(words) + b" " if words else b""), len(words)
 
 
-def word_at(flat: bytes, place: int) -> int:
-    """Index of the word that starts after the space at ``place``."""
-    return flat.count(b" ", 0, place + 1) - 1
-
-
 def base_places(flat: bytes) -> list[tuple[str, int]]:
+    """(label, index of its first word) of every place of a base phrase; words are counted on from place to place."""
     out = []
     for phrase, label in BASE:
-        needle, at = f" {phrase} ".encode(), -1
-        while (at := flat.find(needle, at + 1)) >= 0:
-            out.append((label, word_at(flat, at)))
+        needle, at, word = f" {phrase} ".encode(), -1, -1
+        while (to := flat.find(needle, at + 1)) >= 0:
+            word += flat.count(b" ", at + 1, to + 1)
+            out.append((label, word))
+            at = to
     return out
 
 

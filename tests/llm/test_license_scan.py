@@ -109,3 +109,13 @@ def test_near_notices_do_not_hide_each_other():
     for text in texts:
         assert [f[:4] for f in license_scan.fuzzy_places(license_scan.normal(text)[0])] == brute_places(text), text
     assert [f[1] for f in brute_places(texts[0])] == [0, 7] and [f[0] for f in brute_places(gpl)] == ["gpl-3.0", "gpl-2.0"]
+
+
+def test_text_dense_with_phrases_in_linear_time():
+    import time
+    text = "all rights reserved under cc by general public license " * 40_000
+    t = time.perf_counter()
+    flat, n = license_scan.normal(text)
+    places = license_scan.base_places(flat)
+    assert time.perf_counter() - t < 5 and n == 360_000 and len(places) == 120_000
+    assert places[:2] == [("cc-by", 4), ("cc-by", 13)] and places[-1] == ("reserved", 9 * 39_999)
