@@ -160,6 +160,15 @@ class Views:
                         .alias("tagset_id"), "user_id", (F.col("value") / 100.0).alias("score"),
                         F.col("ts").alias("trained_ts"))
 
+    def legacy_models(self) -> DataFrame:
+        """The registry with the stored parameters of each model as JSON."""
+        from tagweave.operators import sampling as S
+        key = F.col("model_id").cast("string")
+        drawn = {"tokens_k": S.uniform_int(3, key, "tokens_k", 1, 64), "emoji_k": S.uniform_int(3, key, "emoji_k", 1, 64),
+                 "punct_k": S.uniform_int(3, key, "punct_k", 1, 64), "fp_k": S.uniform_int(3, key, "fp_k", 1, 5),
+                 "resolution": S.uniform_int(3, key, "resolution", 1, 6), "gamma": F.round(S.expon(3, key, "gamma", 20.0), 6)}
+        return self.models().withColumn("params", F.to_json(F.struct(*[c.alias(n) for n, c in drawn.items()])))
+
     # --- labelled corpus --------------------------------------------------------
     def corpus(self) -> DataFrame:
         """Labelled corpus (doc_id, text, category, subset): category = lang,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tagweave.functions import text as T
 from tagweave.operators import classify as C
 from tagweave.operators import cluster as CL
-from tagweave.operators import legacy_tagger as LT
 from tagweave.operators import mllib as ML
 from tagweave.operators import reactions as RX
 from tagweave.operators import spread as SP
@@ -126,44 +125,6 @@ def test_online_learner_in_any_number_of_shards(spark):
         assert ML.accuracy(pred) == 1.0
 
 
-def test_spreading_on_a_graph_by_brute_force(spark):
-    rng = np.random.default_rng(7)
-    n = 20
-    w = np.triu(np.where(rng.random((n, n)) < 0.3, rng.random((n, n)), 0), 1)
-    w = w + w.T
-    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "i long, j long, w double")
-    y = [i % 2 if i < 6 else -1 for i in range(n)]
-    labels = spark.createDataFrame(list(enumerate(y)), "id long, label int")
-    p = LT.LegacyParams(max_iter=8, tol=0.0)
-    dist, rounds = LT.spread(edges, labels, 2, p)
-    d = w.sum(axis=0)
-    d[d == 0] = 1
-    s = w / np.sqrt(np.outer(d, d))
-    y0 = np.array([[float(v == c) for c in range(2)] for v in y])
-    f = y0.copy()
-    for _ in range(8):
-        f = p.alpha * s @ f + (1 - p.alpha) * y0
-    z = f.sum(axis=1, keepdims=True)
-    f = f / np.where(z > 0, z, 1)
-    got = np.zeros((n, 2))
-    for r in dist.collect():
-        got[r["id"], r["class_index"]] = r["p"]
-    assert rounds == 8 and np.abs(got - f).max() < 1e-9
-
-
-def test_nearest_by_brute_force(spark):
-    rng = np.random.default_rng(8)
-    x = rng.integers(0, 3, (40, 4)).astype(float)
-    rows = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v], "id long, term int, value double")
-    ids = spark.createDataFrame([(i,) for i in range(40)], "id long")
-    LT.BLOCK = 9
-    got = sorted(tuple(r) for r in LT.nearest(rows, ids, 3).collect())
-    LT.BLOCK = 1024
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    want = sorted((i, j, d[i, j]) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j))[:3])
-    assert got == want
-
-
 def test_cleaning_rules(spark):
     def one(col, text):
         return spark.createDataFrame([(text,)], "t string").select(col(F.col("t"))).first()[0]
