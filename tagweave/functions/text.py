@@ -15,6 +15,9 @@ properties (``\\p{L}``, ``\\p{N}``).
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,34 +223,57 @@ def strip_quotes(text: Column) -> Column:
 
 
 # --- T21 ---------------------------------------------------------------------
-def strip_accents(text: Column) -> Column:
-    """``strip_accents='unicode'``: NFKD-decompose and drop combining marks."""
-    return F.regexp_replace(_nfkd(text), r"\p{M}+", "")
-
-
-def _nfkd(text: Column) -> Column:
-    # Spark has no NFKD normaliser; translate() with a map built once from
-    # Python's unicodedata over Latin-1 Supplement and Latin Extended-A/B.
-    src, dst = _latin_fold_map()
-    return F.translate(text, src, dst)
+#: Code points are looked up in pages of this many.
+_PAGE = 128
+_SEP = "\x01"
 
 
-_FOLD_CACHE: tuple[str, str] | None = None
-
-
-def _latin_fold_map() -> tuple[str, str]:
-    global _FOLD_CACHE
-    if _FOLD_CACHE is None:
-        import unicodedata
-        src, dst = [], []
-        for cp in range(0x00C0, 0x0250):
-            ch = chr(cp)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-        _FOLD_CACHE = ("".join(src), "".join(dst))
-    return _FOLD_CACHE
+def strip_accents(text: Column) -> Column:
+    """``strip_accents='unicode'``: NFKD-decompose, then drop the code points with
+    a combining class. Null stays null.
+
+    Spark has no normaliser, so the decompositions of all code points are two
+    constant arrays made from Python's ``unicodedata`` (a page list and the pages
+    that hold a change); Hangul syllables go by their rule. ASCII runs pass whole;
+    every other code point is two array accesses."""
+    pages, flat = _fold_pages()
+    # Literals that the optimizer folds into arrays once.
+    page_of = F.split(F.lit(pages), _SEP).cast("array<int>")
+    folded = F.split(F.lit(flat), _SEP)
+    lead, vowel, tail = (F.split(F.lit(_SEP.join(chr(first + i) for i in range(n))), _SEP) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+
+    def fold(run: Column) -> Column:
+        cp = F.ascii(run)       # the code point of the first character
+        s = cp - 0xAC00
+        last = F.pmod(s, F.lit(28))
+        syllable = F.concat(F.get(lead, F.floor(s / 588).cast("int")), F.get(vowel, F.floor(F.pmod(s, F.lit(588)) / 28).cast("int")),
+                            F.when(last > 0, F.get(tail, last)).otherwise(""))
+        other = F.coalesce(F.get(folded, F.get(page_of, F.shiftright(cp, _PAGE.bit_length() - 1)) * _PAGE + cp.bitwiseAND(_PAGE - 1)), run)
+        return F.when(cp < 128, run).when(cp.between(0xAC00, 0xD7A3), syllable).otherwise(other)
+
+    runs = F.regexp_extract_all(text, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(runs, fold), "")).otherwise(text)
+
+
+@cache
+def _fold_pages() -> tuple[str, str]:
+    """(page number of each block of code points, -1 if nothing changes there; the
+    folded code points of all pages), both joined by ``_SEP``."""
+    import unicodedata
+
+    def fold(cp: int) -> str:
+        return "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+
+    pages, flat = [], []
+    for start in range(0, sys.maxunicode + 1, _PAGE):
+        cps = range(start, start + _PAGE)
+        block = [chr(cp) if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp <= 0xD7A3 else fold(cp) for cp in cps]
+        changed = block != [chr(cp) for cp in cps]
+        pages.append(len(flat) // _PAGE if changed else -1)
+        flat += block if changed else []
+    while pages[-1] < 0:
+        pages.pop()
+    return _SEP.join(map(str, pages)), _SEP.join(flat)
 
 
 # --- T22 ---------------------------------------------------------------------

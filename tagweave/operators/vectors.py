@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.hashing import md5_bucket
+from tagweave.functions.hashing import md5_bucket, murmur3
 from tagweave.functions.text import let, token_counts
 from tagweave.operators.ranking import ordered_rank
 
@@ -54,6 +54,20 @@ def hashed_counts(df: DataFrame, id_col: str, tokens_col: str, n_features: int)
     return rows.groupBy("id", md5_bucket(F.col("token"), n_features).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def signed_hashed_counts(df: DataFrame, id_col: str, tokens_col: str, n_features: int) -> DataFrame:
+    """V1 as the reference's hasher has it: (id, term=bucket, tf). A token's bucket
+    is its absolute MurmurHash3 modulo ``n_features``; its count is added if the
+    hash is not negative, else subtracted; the result is the absolute sum. Tokens
+    of one bucket can so cancel each other; a bucket that sums to 0 has no row.
+
+    A token is counted per row before it is hashed, and signed sums combine before
+    the one shuffle."""
+    counts = term_counts(df, id_col, tokens_col).withColumn("h", murmur3(F.col("term")))
+    signed = F.when(F.col("h") >= 0, F.col("tf")).otherwise(-F.col("tf"))
+    sums = counts.select("id", F.pmod(F.abs("h"), F.lit(n_features)).cast("int").alias("term"), signed.alias("s")).groupBy("id", "term").agg(F.sum("s").alias("s"))
+    return sums.where("s <> 0").select("id", "term", F.abs("s").alias("tf"))
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(term, df): documents containing the term."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

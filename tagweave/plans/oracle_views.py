@@ -14,6 +14,27 @@ def h01(seed, bag, id_expr: str) -> str:
     return f"({h32(key)} / 4294967296.0)"
 
 
+def murmur3_sql(expr: str) -> str:
+    """MurmurHash3 (x86, 32 bits, seed 0) of a string, signed, as list arithmetic:
+    every value is bound as the one element of a list."""
+    times = lambda x, c: f"(({x}::UBIGINT * {c}::UBIGINT) % 4294967296::UBIGINT)"
+    rot = lambda x, b: f"(({x} * {1 << b}) % 4294967296 + {x} // {1 << (32 - b)})"
+    fold = lambda x, b: f"xor({x}, {x} // {1 << b})"
+    on = lambda xs, body: f"list_transform({xs}, lambda x: {body})"
+    number = "('0x0' || {})::UBIGINT"
+    part = lambda start, n: " || ".join(f"substr(hex(s), {start} + {2 * i}, 2)" for i in reversed(range(n)))
+    size = "octet_length(encode(s))"
+    words = on(f"generate_series(0, {size} // 4 - 1)", number.format("(" + part("x * 8 + 1", 4) + ")"))
+    tail = "[" + number.format("(" + part(f"({size} // 4) * 8 + 1", 3) + ")") + "]"
+    mixed = lambda xs: on(on(on(xs, times("x", 0xCC9E2D51)), rot("x", 15)), times("x", 0x1B873593))
+    body = f"list_reduce(list_concat([0::UBIGINT], {mixed(words)}), lambda h, k: ({rot('xor(h, k)', 13)} * 5 + {0xE6546B64}) % 4294967296)"
+    out = f"[xor(xor({body}, {mixed(tail)}[1]), {size}::UBIGINT)]"
+    for bits, c in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        out = on(on(out, fold("x", bits)), times("x", c))
+    out = on(on(out, fold("x", 16)), "CASE WHEN x > 2147483647 THEN x::BIGINT - 4294967296 ELSE x::BIGINT END")
+    return f"list_transform([{expr}], lambda s: {out}[1])[1]"
+
+
 def md5_order(seed, bag, id_expr: str) -> str:
     return f"md5(concat('{seed}', ':', '{bag}', ':', {id_expr}::VARCHAR))"
 

@@ -8,7 +8,7 @@ from tagweave.functions import fingerprint as FP
 from tagweave.functions import text as T
 from tagweave.functions import timeofday as TOD
 from tagweave.operators import vectors as V
-from tagweave.plans.oracle_views import fingerprint_sql, h32
+from tagweave.plans.oracle_views import fingerprint_sql, h32, murmur3_sql
 from tagweave.plans.registry import register
 from tagweave.plans.q_sampling import S1_SQL, flagship_sample
 from tagweave.operators import sampling as S
@@ -46,6 +46,18 @@ def v1_hashed_counts(t):
     return V.hashed_counts(d, "id", "tokens", 200)
 
 
+@register("v1_signed_hashing", f"""WITH toks AS (SELECT concat_ws('_', conv_id, turn) AS id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS tok
+  FROM conversations),
+words AS (SELECT tok, h FROM (SELECT DISTINCT tok FROM toks) d, LATERAL (SELECT {murmur3_sql('d.tok')} AS h)),
+sums AS (SELECT id, CAST(abs(h) % 200 AS INTEGER) AS term, sum(CASE WHEN h >= 0 THEN 1 ELSE -1 END) AS s FROM toks JOIN words USING (tok) GROUP BY ALL)
+SELECT id, term, CAST(abs(s) AS BIGINT) AS tf FROM sums WHERE s <> 0""")
+def v1_signed_hashing(t):
+    """V1: signed feature hashing (MurmurHash3, sign by its top bit, absolute value
+    of the sums), 200 buckets as the reference's token block has."""
+    d = conv_docs(t).select("id", word_tokens(F.col("text")).alias("tokens"))
+    return V.signed_hashed_counts(d, "id", "tokens", 200)
+
+
 @register("v3_count_vectorizer", f"""WITH {_CONV_TF},
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 kept AS (SELECT term FROM df, n WHERE df >= 2 AND df <= 0.5 * n.n),

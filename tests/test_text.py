@@ -156,3 +156,66 @@ def test_sql_functions_equal_column_functions(spark, tables):
     tod2 = tables.events.select("event_id", TOD.time_of_day(F.col("ts"), 3).alias("v")).orderBy("event_id").collect()
     assert [tuple(r) for r in tod] == [tuple(r) for r in tod2]
     assert spark.sql("SELECT tw_emoji('a😀😀b🚀') e").collect()[0]["e"] == ["😀😀", "🚀"]
+
+
+def test_accents_of_all_code_points(spark):
+    import unicodedata
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    fold = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    texts = ["x" + "y".join(chars[i:i + 64]) for i in range(0, len(chars), 64)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string").repartition(4)
+    got = {r["i"]: r["r"] for r in rows.select("i", T.strip_accents(F.col("v")).alias("r")).collect()}
+    assert [i for i, s in enumerate(texts) if got[i] != fold(s)] == []
+    for s in ("", "plain", "\ud55c\uad6d\uc5b4 \u1e9b\u0323 \ufb01n \u0130 e\u0301 \u0915\u093e \u00bd \U0001d552", None):
+        assert one(spark, T.strip_accents, s) == (s and fold(s))
+
+
+def _murmur3(data, seed=0):
+    """Byte by byte, as published."""
+    rot = lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    mix = lambda k: rot(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h, n = seed, len(data) // 4 * 4
+    for i in range(0, n, 4):
+        h = (rot(h ^ mix(int.from_bytes(data[i:i + 4], "little")), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= mix(int.from_bytes(data[n:], "little")) ^ len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_murmur3(spark, duck):
+    import random
+
+    from tagweave.functions.hashing import murmur3
+    from tagweave.plans.oracle_views import murmur3_sql
+    # Published values of the hash.
+    known = {"": 0, "hello": 0x248BFA47, "hello, world": 0x149BBB7F, "The quick brown fox jumps over the lazy dog": 0x2E4FF723}
+    rng = random.Random(3)
+    words = [*known, "a", "ab", "abc", "abcd", "\u00e9", "\u4e2d\u6587\U0001f600"] + [
+        "".join(chr(rng.choice([97, 122, 233, 0x4E2D, 0x1F600])) for _ in range(rng.randrange(40))) for _ in range(300)]
+    assert all(_murmur3(w.encode()) == h for w, h in known.items())
+    rows = spark.createDataFrame([(w,) for w in words], "v string").repartition(3)
+    assert all(r["h"] == _murmur3(r["v"].encode()) for r in rows.select("v", murmur3(F.col("v")).alias("h")).collect())
+    assert all(r["h"] == _murmur3(r["v"].encode(), 7) for r in rows.select("v", murmur3(F.col("v"), 7).alias("h")).collect())
+    assert one(spark, murmur3, None) is None
+    for w, h in duck.execute(f"SELECT w, {murmur3_sql('w')} FROM (SELECT unnest(?) AS w)", [words]).fetchall():
+        assert h == _murmur3(w.encode())
+
+
+def test_signed_hashing_collisions(spark):
+    """Tokens of one bucket add or cancel by the sign of their hashes."""
+    from tagweave.operators import vectors as V
+    tokens = [f"w{i}" for i in range(60)]
+    docs = [(1, tokens), (2, tokens[:7] * 3 + tokens[20:]), (3, []), (4, None)]
+    want = set()
+    for i, toks in docs:
+        sums = {}
+        for w in toks or []:
+            h = _murmur3(w.encode())
+            sums[abs(h) % 8] = sums.get(abs(h) % 8, 0) + (1 if h >= 0 else -1)
+        want |= {(i, b, abs(s)) for b, s in sums.items() if s}
+    df = spark.createDataFrame(docs, "id long, tokens array<string>")
+    got = V.signed_hashed_counts(df, "id", "tokens", 8).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert sum(n for i, _, n in want if i == 1) < len(tokens)
