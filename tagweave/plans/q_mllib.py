@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.feature import IndexToString, Normalizer
 from pyspark.sql import functions as F
 
 from tagweave.operators import mllib as ML
+from tagweave.operators.squared_hinge import SvmParams, fit_squared_hinge
 from tagweave.plans.registry import register
 from tagweave.session import ensure_checkpoint_dir
 
@@ -34,10 +35,12 @@ def _named(pred, labels):
 
 @register("m11_linear_svc")
 def m11_linear_svc(t):
-    """Linear SVM (l2), one-vs-rest, on TF-IDF of hashed words; test predictions."""
+    """Linear SVM (squared hinge, l2, C = 1, tol 1e-3), one-vs-rest, on
+    L2-normalised TF-IDF of hashed words; test predictions."""
     tr, te, labels = _corpus(t)
-    m = OneVsRest(classifier=LinearSVC(regParam=1e-3, tol=1e-3, maxIter=50), labelCol="y", parallelism=4).fit(tr)
-    return _named(m.transform(te), labels)
+    unit = lambda x: Normalizer(inputCol="features", outputCol="unit").transform(x).drop("features").withColumnRenamed("unit", "features")
+    w, _ = fit_squared_hinge(unit(tr), len(labels), DIM, SvmParams(C=1.0, tol=1e-3))
+    return _named(ML.predict_online(unit(te), w).join(te.select("id", "label"), "id"), labels)
 
 
 @register("m12_l1_select_svc")
