@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import md5_bucket, murmur3
-from tagweave.functions.text import let, token_counts
+from tagweave.functions.text import let, token_counts, word_ngrams
 from tagweave.operators.ranking import ordered_rank
+from tagweave.session import cut_lineage
 
 # Largest dimension for which the Gram matrix goes to the driver (200 x 200
 # is the reference's own cap on hashed token features).
@@ -83,6 +84,27 @@ def filter_df(tf: DataFrame, n_docs, min_df=1, max_df=1.0) -> DataFrame:
     return tf.join(d.select("term"), "term", "left_semi")
 
 
+def frequent_gram_counts(df: DataFrame, id_col: str, words_col: str, n_max: int, min_count: float) -> tuple[DataFrame, DataFrame]:
+    """V3 counts of the 1- to ``n_max``-grams that at least ``min_count`` documents
+    hold: ((id, term, tf), (term, df)). ``words_col`` holds words without spaces.
+
+    Level by level (Agrawal & Srikant, VLDB 1994): a document with an n-gram has
+    both (n-1)-grams in it, so only grams of two frequent ones are counted, and the
+    many rare ones never reach a shuffle."""
+    rows, terms = None, None
+    for n in range(1, n_max + 1):
+        tf = term_counts(df.select(F.col(id_col).alias("id"), word_ngrams(F.col(words_col), n, n).alias("g")), "id", "g")
+        if n > 1:
+            last = F.broadcast(level.select("term"))
+            for side, at in (("a", n - 1), ("b", 1 - n)):
+                tf = tf.withColumn(side, F.substring_index("term", " ", at)).join(
+                    last.withColumnRenamed("term", side), side, "left_semi").drop(side)
+        level = cut_lineage(document_frequency(tf).where(F.col("df") >= F.lit(float(min_count))))
+        tf = tf.join(F.broadcast(level.select("term")), "term", "left_semi").select("id", "term", "tf")
+        rows, terms = (tf, level) if rows is None else (rows.unionByName(tf), terms.unionByName(level))
+    return rows, terms
+
+
 def idf_table(tf: DataFrame, n_docs, smooth: bool = True) -> DataFrame:
     """V4 fit: (term, idf) with idf = ln((1+n)/(1+df)) + 1 (smooth) or
     ln(n/df) + 1."""
@@ -176,18 +198,33 @@ def gram_matrix(x: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
         *group_cols, F.transform("e", lambda e: e["term"]).alias("t"), F.transform("e", lambda e: e["value"]).alias("v"))
 
     def partial(batches):
-        sums: dict = {}                     # (groups, i) -> {j: sum}, at most width^2 a group
+        sums: dict = {}                     # groups -> (sorted terms, sums, pairs seen), at most width^2 a group
         for b in batches:
-            for row in b.itertuples(index=False):
-                *g, t, v = row
-                t, v = np.asarray(t), np.asarray(v, dtype=float)
-                m = sums.setdefault(tuple(g), {})
-                for i, vi in zip(t, v):
-                    own = m.setdefault(i, {})
-                    for j, p in zip(t, vi * v):
-                        own[j] = own.get(j, 0.0) + p
-        for g, m in sums.items():
-            yield pd.DataFrame([(*g, i, j, s) for i, own in m.items() for j, s in own.items()], columns=[*group_cols, "i", "j", "g"])
+            for g, part in b.groupby(group_cols, dropna=False) if group_cols else [((), b)]:
+                for at in range(0, len(part), 512):
+                    size = [len(t) for t in part["t"].iloc[at:at + 512]]
+                    t, v = (np.concatenate(list(part[c].iloc[at:at + 512])) for c in ("t", "v"))
+                    if not len(t):
+                        continue
+                    own, col = np.unique(t, return_inverse=True)
+                    rows, seen = np.zeros((len(size), len(own))), np.zeros((len(size), len(own)))
+                    at_row = np.repeat(np.arange(len(size)), size)
+                    np.add.at(rows, (at_row, col), v.astype(float))
+                    seen[at_row, col] = 1.0
+                    terms, total, met = sums.get(g, (own[:0], np.zeros((0, 0)), np.zeros((0, 0), dtype=bool)))
+                    both = np.union1d(terms, own)
+                    if len(both) > len(terms):
+                        old = np.ix_(*[np.searchsorted(both, terms)] * 2)
+                        wider, wider_met = np.zeros((len(both), len(both))), np.zeros((len(both), len(both)), dtype=bool)
+                        wider[old], wider_met[old] = total, met
+                        total, met = wider, wider_met
+                    new = np.ix_(*[np.searchsorted(both, own)] * 2)
+                    total[new] += rows.T @ rows
+                    met[new] |= seen.T @ seen > 0
+                    sums[g] = both, total, met
+        for g, (terms, total, met) in sums.items():
+            i, j = np.nonzero(met)
+            yield pd.DataFrame({**{c: [e] * len(i) for c, e in zip(group_cols, g)}, "i": terms[i], "j": terms[j], "g": total[i, j]})
 
     kinds = dict(x.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in group_cols], f"i {kinds['term']}", f"j {kinds['term']}", "g double"])
@@ -275,7 +312,6 @@ def pca_sparse(x: DataFrame, width: int, k: int, rounds: int = 100, seed: int =
     (X - 1 mu^T)^T Y = X^T Y - mu (1^T Y); both products are a join with a
     broadcast width x k table (bounded by the width) and a sum. Returns
     (components width x k, mean, explained variances)."""
-    from tagweave.session import cut_lineage
     spark = x.sparkSession
     x = cut_lineage(x.select("id", "term", "value"))          # read every round
     n = x.select("id").distinct().count()

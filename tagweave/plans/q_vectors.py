@@ -13,6 +13,7 @@ from tagweave.plans.oracle_views import fingerprint_sql, h32, murmur3_sql
 from tagweave.plans.registry import register
 from tagweave.plans.q_sampling import S1_SQL, flagship_sample
 from tagweave.operators import sampling as S
+from tagweave.session import stored
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -126,7 +127,7 @@ x AS (SELECT x0.id, x0.term, x0.v / nrm.nrm AS value FROM x0 JOIN nrm USING (id)
 
 def doc_hash_tfidf(t, width=200):
     d = t.documents.select(F.col("doc_id").alias("id"), word_tokens(F.col("text")).alias("tokens"))
-    tf = V.hashed_counts(d, "id", "tokens", width)
+    tf = stored(V.hashed_counts(d, "id", "tokens", width))
     n = t.documents.select(F.count(F.lit(1))).scalar()
     return V.tfidf(tf, V.idf_table(tf, n), idf_rows_bound=width)
 
