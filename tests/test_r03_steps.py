@@ -50,3 +50,70 @@ def test_frequent_gram_counts_equal_all_counts(spark):
     got, df = V.frequent_gram_counts(rows, "id", "w", 3, 2)
     assert sorted(map(tuple, got.select("id", "term", "tf").collect())) == sorted(map(tuple, want.select("id", "term", "tf").collect()))
     assert {r["term"]: r["df"] for r in df.collect()} == {"a": 3, "b": 4, "c": 3, "a b": 3, "b c": 2, "c a": 2, "a b c": 2, "c a b": 2}
+
+
+class FakeTables:
+    """Tables whose views give the frames it is made of."""
+
+    def __init__(self, **views):
+        self.views = type("Views", (), {k: staticmethod(lambda v=v: v) for k, v in views.items()})
+
+
+def test_corpus_features_reads_texts_once(spark):
+    from tagweave.plans import q_models as Q
+    rows = [(i, ("alpha beta " if i % 2 else "gamma delta ") * (1 + i % 3), "ab"[i % 2], "test" if i % 5 == 0 else "train") for i in range(30)]
+    corpus, seen = counted(spark.createDataFrame(rows, "doc_id long, text string, category string, subset string"))
+    pred, _ = Q.mnb_predictions(FakeTables(corpus=corpus))
+    assert {r["id"]: r["prediction"] for r in pred.collect()} == {i: "ab"[i % 2] for i in range(0, 30, 5)}
+    assert seen.value == 60         # once for the words, once for classes and subsets
+
+
+def test_reaction_lines_read_comments_once(spark):
+    from tagweave.plans import q_models as Q
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    comments, seen = counted(spark.createDataFrame(
+        [(i % 4, "page0", f'{{"message": "{line} {i}\\\\n{line} zulu {i}"}}') for i in range(40)], "post_id long, page string, comment string"))
+    reactions = spark.createDataFrame([(p, k, Q.PAGE) for p in range(4) for k in ("LOVE", "WOW") for _ in range(2 + p)], "post_id long, type string, page string")
+    hits, tst = Q.reaction_predictions(FakeTables(comments=comments, reactions=reactions))
+    assert hits.count() == 5 * tst.count() > 0
+    assert seen.value == 40
+
+
+def test_knn_by_tiles_equals_brute_force(spark, monkeypatch):
+    from tagweave.operators import classify as C
+    for name, size in (("TEST_BLOCK", 3), ("TRAIN_BLOCK", 4), ("KNN_BLOCK", 9)):
+        monkeypatch.setattr(C, name, size)
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 8)) * (rng.random((40, 8)) < 0.5)
+    x[30] = x[31] = x[32]
+    rows = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*(c.tolist() for c in np.nonzero(x)))], "id long, term int, value double")
+    ids = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    test, train = F.col("id") < 11, F.col("id") >= 11
+    got = C.knn_cosine(rows.where(test), rows.where(train), 5, ids.where(test), ids.where(train)).collect()
+    want = {(i, int(n), r + 1) for i in range(11) for r, n in enumerate(11 + np.lexsort((np.arange(11, 40), -np.round(x[11:] @ x[i], 9)))[:5])}
+    assert {(r["id"], r["nid"], r["rank"]) for r in got} == want
+
+
+def test_gram_matrix_of_groups_keeps_only_pairs_that_meet(spark):
+    rows = [("g", 1, 2, 1.0), ("g", 1, 5, 2.0), ("g", 2, 5, -2.0), ("g", 2, 2, 1.0), ("h", 1, 9, 3.0), ("h", 2, 2, 0.0)]
+    x = spark.createDataFrame(rows, "b string, id long, term int, value double").repartition(1)
+    got = {(r["b"], r["i"], r["j"]): r["g"] for r in V.gram_matrix(x, ["b"]).collect()}
+    assert got == {("g", 2, 2): 2.0, ("g", 2, 5): 0.0, ("g", 5, 2): 0.0, ("g", 5, 5): 8.0, ("h", 9, 9): 9.0, ("h", 2, 2): 0.0}
+
+
+def test_a_round_of_parameter_mixing_shuffles_no_rows(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import GroupedData
+    from tagweave.operators import mllib as ML
+    plans, apply = [], GroupedData.applyInPandas
+
+    def spied(self, fn, schema):
+        out = apply(self, fn, schema)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", spied)
+    data = spark.createDataFrame([(i, Vectors.sparse(2, {i % 2: 1.0}), float(i % 2)) for i in range(40)], ["id", "features", "y"])
+    w = ML.fit_online(data, 2, 2, ML.OnlineParams(n_iter=3, shard_rows=10))
+    assert not any("Exchange" in p for p in plans)
+    assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0]
