@@ -46,6 +46,17 @@ def stored_by(df: DataFrame, parts: int, key: str) -> DataFrame:
         conf.set(name, was)
 
 
+#: Rows of a partition of a gathered table.
+GATHERED_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows: int = GATHERED_ROWS) -> DataFrame:
+    """``stored``, read in as many partitions as its rows need and no more: what
+    shuffles a small table then writes few files, however many partitions made it."""
+    out = stored(df)
+    return out.coalesce(parts_for(out.count(), rows))
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z, and no other character, in lower case."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

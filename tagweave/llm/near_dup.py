@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import exchange
-from tagweave.llm.common import stored
+from tagweave.llm.common import gathered, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
@@ -65,6 +65,8 @@ ESTIMATE_SLACK = 0.2
 WORD_CACHE = 100_000
 BROADCAST_IDS = 500_000
 FEW_EDGES = 50_000
+#: Rows with texts of a partition of a gathered table.
+MEMBER_ROWS = 5_000
 #: Hub rounds go on while one of so many pairs is a link.
 FEW_LINKS = 20
 #: A shingle of so many documents is rare: an index of these stays linear.
@@ -208,16 +210,16 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> Dat
 
     sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = stored(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(estimate, "a long, b long"))
+    near = gathered(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(estimate, "a long, b long"))
     full = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return stored(full.mapInPandas(compare, "a long, b long"))
+    return gathered(full.mapInPandas(compare, "a long, b long"))
 
 
 def _mixed_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
     """The rows (key, rep, n, ...) of buckets with several components, with their
     component ``comp`` and the bucket's most frequent one, ``main``."""
-    rows = rows.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "comp", F.coalesce("component", "rep")).drop("component")
+    rows = gathered(rows.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "comp", F.coalesce("component", "rep")).drop("component"))
     # Counted by component first: no task holds all components of a bucket.
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
@@ -307,28 +309,28 @@ def _open_pairs(rows: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
 def _labels(buckets: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
     """(node, component) of the linked ones among ``members`` (rep, n, sig, text); ``buckets``: key, rep, n."""
     hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep")).alias("hub"))
-    links = _verified(_pairs(buckets.join(hubs.select("key", F.col("hub.rep").alias("hub")), "key"), "rep", "hub"), members, percent, k)
+    links = _verified(gathered(_pairs(buckets.join(hubs.select("key", F.col("hub.rep").alias("hub")), "key"), "rep", "hub")), members, percent, k)
     label = components(links)
 
-    rows = stored(_mixed_buckets(buckets, label))
-    shared = stored(_shared_shingles(rows.select("rep", "comp").distinct(), members, k))
+    rows = gathered(_mixed_buckets(buckets, label))
+    shared = gathered(_shared_shingles(rows.select("rep", "comp").distinct(), members, k))
     # The other's set is at least percent / 100 as large, so that share of a set must be common.
-    able = stored(rows.drop("comp", "main").join(shared.select("rep", "c", F.size("rare").alias("few")), "rep")
+    able = gathered(rows.drop("comp", "main").join(shared.select("rep", "c", F.size("rare").alias("few")), "rep")
                   .where(F.expr(f"100 * (c + few) >= {percent} * n")).drop("few"))
     rare = shared.select("rep", F.explode("rare").alias("s"))
     number = 0
     while True:
-        rows = stored(_mixed_buckets(able, label))
+        rows = gathered(_mixed_buckets(able, label))
         number += 1
-        pairs = stored(_hub_pairs(rows, number))
+        pairs = gathered(_hub_pairs(rows, number))
         more = _verified(pairs, members, percent, k)
         found, tried = more.count(), pairs.count()
         if found:
-            links = stored(links.unionByName(more))
+            links = gathered(links.unionByName(more))
             label = components(links)
         if found * FEW_LINKS < tried or not tried:
             break
-    last = _verified(_open_pairs(stored(_mixed_buckets(able, label)), rare, percent), members, percent, k)
+    last = _verified(gathered(_open_pairs(gathered(_mixed_buckets(able, label)), rare, percent)), members, percent, k)
     return components(links.unionByName(last)) if last.head(1) else label
 
 
@@ -358,38 +360,39 @@ def _set_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     sigs = stored(signatures(docs, k, max(20, bands_for(percent))))
     classes = sigs.where("n > 0").groupBy(*SET).agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = gathered(classes.withColumn("node", F.monotonically_increasing_id()))
     nodes = classes.select(F.col("node").alias("rep"), "n", "sig", "keys")
     keys = nodes.select("rep", "n", F.posexplode("keys").alias("band", "h")).select("rep", "n", F.xxhash64("band", "h").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    buckets = stored(keys.join(several, "key"))
+    buckets = gathered(keys.join(several, "key"))
     # Only what shares a bucket needs its text and signature again.
     members = classes.join(buckets.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
-    members = stored(members.select(F.col("node").alias("rep"), "n", "sig", "d1", "d2", F.col("rep").alias("doc_id")))
+    members = gathered(members.select(F.col("node").alias("rep"), "n", "sig", "d1", "d2", F.col("rep").alias("doc_id")))
     # Where all rows of an id have one set, any text of the id has it; else the digests tell.
     several_sets = sigs.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("lo"), F.max(F.struct(*SET)).alias("hi")).where("lo <> hi OR doc_id IS NULL")
-    several_sets = stored(several_sets.select("doc_id"))
+    several_sets = gathered(several_sets.select("doc_id"))
     given = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     one = F.col("id") == F.col("doc_id")
-    plain = members.join(several_sets, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("rep", "doc_id")
-    texts = plain.join(given, one).select("rep", "text")
+    plain = gathered(members.join(several_sets, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("rep", "doc_id"))
+    # A few ids go to every task, so that only the members' texts move.
+    texts = given.join(F.broadcast(plain) if plain.count() <= BROADCAST_IDS else plain, one).select("rep", "text")
     if several_sets.head(1):
         again = given.join(several_sets, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text")
         texts = texts.unionByName(_with_digest(again, k).join(members.select("rep", *SET), SET).select("rep", "text"))
-    members = stored(members.select("rep", "n", "sig").join(texts, "rep").groupBy("rep").agg(
-        F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text").alias("text")))
+    members = gathered(members.select("rep", "n", "sig").join(texts, "rep").groupBy("rep").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text").alias("text")), MEMBER_ROWS)
     return sigs, classes.select("node", "rep", *SET), _labels(buckets, members, percent, k)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sigs, classes, label = _set_components(docs, shingle_words, percent)
-    sets = stored(sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *SET).distinct().join(classes.select("node", *SET), SET).select("doc_id", "node"))
+    sets = gathered(sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *SET).distinct().join(classes.select("node", *SET), SET).select("doc_id", "node"))
     first = sets.groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("doc_id", "first")
-    shared = stored(sets.join(first, "doc_id").select("doc_id", F.col("node").alias("a"), F.col("first").alias("b")))
+    shared = gathered(sets.join(first, "doc_id").select("doc_id", F.col("node").alias("a"), F.col("first").alias("b")))
     if shared.head(1):
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shared.select("a", "b")))
-    of_class = stored(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
+    of_class = gathered(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = of_class.join(least, "component").select(*SET, "component_id")
     out = sigs.select("doc_id", *SET).join(found, SET, "left")
@@ -405,12 +408,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component of sets, and all without words."""
     sigs, classes, label = _set_components(docs, shingle_words, percent)
-    of_class = stored(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
+    of_class = gathered(classes.join(label, "node", "left").select("rep", *SET, F.coalesce("component", "node").alias("component")))
     # A component without ids has a null here, and one of its rows stays.
     of_class = of_class.join(of_class.groupBy("component").agg(F.min("rep").alias("stays")), "component").select(*SET, "component", "stays")
-    several = stored(sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL").select("doc_id"))
+    several = gathered(sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL").select("doc_id"))
     gone = sigs.where("n > 0").select("doc_id", *SET).join(of_class, SET).where("doc_id <> stays").select("doc_id")
-    gone = stored(gone.unionByName(several.where("doc_id IS NOT NULL")).distinct())
+    gone = gathered(gone.unionByName(several.where("doc_id IS NOT NULL")).distinct())
     # A few ids go to every task, so that no text moves; more are joined by a shuffle.
     few = gone.count() <= BROADCAST_IDS
     columns = [f"`{c}`" for c in docs.columns]

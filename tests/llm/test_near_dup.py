@@ -166,3 +166,20 @@ def test_bands_follow_the_limit(spark, monkeypatch):
     for percent in (80, 85):
         assert result(near_dup.near_duplicates(docs, 3, percent)) == brute([(1, "a b c d e f"), (2, "a b c d e f")], 3, percent)
     assert bands == [29, 20]
+
+
+def test_small_tables_need_few_partitions(spark):
+    """What later shuffles read has as many partitions as its rows need, however many made it."""
+    texts = [" ".join(f"w{i // 4}x{j}" for j in range(60)) + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, classes, label = near_dup._set_components(docs, 3, 85)
+        assert classes.count() == 40 and label.count() == 40
+        assert classes.rdd.getNumPartitions() == 1
+        pairs = spark.createDataFrame([(1, 0)], "a long, b long").repartition(6)
+        members = spark.createDataFrame([(i, 58, bytes(400), texts[i]) for i in (0, 1)], "rep long, n long, sig binary, text string")
+        assert near_dup._verified(pairs, members, 85, 3).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
