@@ -291,8 +291,8 @@ def v8_fingerprint_pca(t):
     """V8: centred PCA (4 components) of the 16,384-wide multi-hot retina
     fingerprints, without densifying them: projections (vec_id, comp, value)
     of every retina. Checked against numpy PCA in tests."""
-    pos = t.views.retina_pos().select(F.col("vec_id").alias("id"), F.col("pos").alias("term")).distinct() \
-        .withColumn("value", F.lit(1.0))
+    pos = stored(t.views.retina_pos().select(F.col("vec_id").alias("id"), F.col("pos").alias("term")).distinct()
+                 .withColumn("value", F.lit(1.0)))
     comps, mu, _ = V.pca_sparse(pos, FP.FINGERPRINT_WIDTH, 4, rounds=10)
     basis = t.spark.createDataFrame([(int(i), int(c), float(comps[i, c])) for i in range(comps.shape[0])
                                      for c in range(comps.shape[1]) if comps[i, c] != 0.0],
