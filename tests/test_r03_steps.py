@@ -117,3 +117,39 @@ def test_a_round_of_parameter_mixing_shuffles_no_rows(spark, monkeypatch):
     w = ML.fit_online(data, 2, 2, ML.OnlineParams(n_iter=3, shard_rows=10))
     assert not any("Exchange" in p for p in plans)
     assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0]
+
+
+def test_threshold_clustering_merges_what_the_rule_admits(spark):
+    """Copies in different hash groups meet, whatever the number of groups, and no level looks at all summaries by chance."""
+    from tagweave.operators import cluster as CL
+    rows = [(i, f"t{i % 40}", 1.0) for i in range(80)] + [(80, "t0", 0.6), (80, "u", 0.8)]
+    x = spark.createDataFrame(rows, "id long, term string, value double")
+    ids = spark.createDataFrame([(i,) for i in range(83)], "id long")
+    got = {r["id"]: r["label"] for r in CL.threshold_clustering(x, 0.1, group_rows=2, ids=ids).collect()}
+    assert got == {i: i % 40 for i in range(80)} | {80: 40, 81: 41, 82: 41}
+
+
+def test_nearest_lists_and_bounds(spark):
+    """The nearest vectors over several blocks, as by brute force; ties go to the smallest key."""
+    import numpy as np
+    from tagweave.operators import cluster as CL
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 3, (60, 6)).astype(float)
+    m[10:14] = m[10]
+    rows = [(f"k{i:02d}", [int(j) for j in np.flatnonzero(m[i])], [float(v) for v in m[i][m[i] > 0]]) for i in range(60)]
+    x = spark.createDataFrame(rows, "key string, t array<long>, v array<double>")
+    old = CL.JOIN_ROWS, CL.JOIN_BLOCK
+    CL.JOIN_ROWS, CL.JOIN_BLOCK = 7, 13
+    try:
+        got = {r["key"]: r for r in CL._nearest(x, x, False, 4).collect()}
+        one = {r["key"]: r["near"][0]["near"] for r in CL._nearest(x, x, True, 1).collect()}
+    finally:
+        CL.JOIN_ROWS, CL.JOIN_BLOCK = old
+    d = (m * m).sum(1)[None, :] - 2 * m @ m.T
+    for i in range(60):
+        want = sorted((round(float(d[i, j]), 9), f"k{j:02d}") for j in range(60) if j != i)
+        r = got[f"k{i:02d}"]
+        assert (r["near"][0]["d"], r["near"][0]["near"]) == want[0]
+        assert [e["d"] for e in r["near"]] == [e[0] for e in want[:4]] and r["bound"] == want[3][0]
+        near = sorted((round(float(d[i, j]), 9), f"k{j:02d}") for j in range(60) if (m @ m.T)[i, j])
+        assert one.get(f"k{i:02d}") == (near[0][1] if near else None)
