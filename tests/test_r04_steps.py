@@ -70,3 +70,11 @@ def test_gram_counts_are_not_joined(spark, monkeypatch):
     assert sorted(map(tuple, got.select("id", "term", "tf").collect()), key=order) == sorted((tuple(r) for r in tf if r["term"] in held), key=order)
     none, no_terms = V.frequent_gram_counts(rows, "id", "w", 3, 1000)
     assert none.count() == 0 and no_terms.count() == 0
+
+
+def test_token_report_reads_the_tokens_once(spark, tables, monkeypatch):
+    from tagweave.plans import q_cluster as Q
+    calls, tokens = [], Q.english_tokens
+    monkeypatch.setattr(Q, "english_tokens", lambda *a: calls.append(a) or tokens(*a))
+    assert Q.g8_f12_token_histogram(tables).count() > 0
+    assert len(calls) == 1
