@@ -78,3 +78,37 @@ def test_token_report_reads_the_tokens_once(spark, tables, monkeypatch):
     monkeypatch.setattr(Q, "english_tokens", lambda *a: calls.append(a) or tokens(*a))
     assert Q.g8_f12_token_histogram(tables).count() > 0
     assert len(calls) == 1
+
+
+def test_knn_multiplies_only_possible_neighbours(monkeypatch):
+    from tagweave.operators import classify as C
+    x = sparse_units(2, 400, 900, 25)
+    x[5], x[6] = 0, 0                         # no terms at all
+    x[7] = 0
+    x[7, 899] = 1.0                           # a term that few rows have
+    for rows, head, products, sign in ((64, 40, 50, False), (1000, 1024, 1 << 22, False), (64, 8, 1 << 22, True), (7, 1, 3, False)):
+        y = x * np.where(np.arange(900) % 3 == 0, -1.0, 1.0) * np.where(np.arange(400) % 2 == 0, -1.0, 1.0)[:, None] if sign else x
+        for name, v in (("TEST_BLOCK", rows), ("TRAIN_BLOCK", rows), ("KNN_HEAD", head), ("KNN_PRODUCTS", products)):
+            monkeypatch.setattr(C, name, v)
+        seen, exact = [], C._products
+        monkeypatch.setattr(C, "_products", lambda a, i, *rest: seen.append(len(i)) or exact(a, i, *rest))
+        ids = np.arange(400) * 2
+        pack = lambda z, i: packed(z, i).assign(**{c: [np.asarray(v)[np.argsort(t)] for t, v in zip(p["t"], p[c])] for p in [packed(z, i)] for c in ("t", "v")})
+        got = C._best_of_block(pack(y[:100], ids[:100]), pack(y[100:], ids[100:]), 5)
+        s = np.round(y[:100] @ y[100:].T, 9)
+        s[s <= 1e-12] = 0.0
+        for q in range(100):
+            order = np.argsort(-s[q], kind="stable")[:5]
+            own = got[got["id"] == 2 * q]
+            assert own["nid"].tolist() == (200 + 2 * order).tolist() and np.allclose(own["sim"], s[q][order], atol=1e-9)
+        if not sign and rows >= 64:
+            assert sum(seen) < 0.1 * 100 * 300
+        monkeypatch.setattr(C, "_products", exact)
+
+
+def test_knn_adds_up_repeated_terms():
+    from tagweave.operators import classify as C
+    left = pd.DataFrame({"id": [1], "t": [np.array([3, 3, 8])], "v": [np.array([0.2, 0.3, 0.5])]})
+    right = pd.DataFrame({"id": [4, 5, 6], "t": [np.array([3, 8, 8]), None, np.array([9])], "v": [np.array([0.4, 0.1, 0.2]), None, np.array([1.0])]})
+    got = C._best_of_block(left, right, 2)
+    assert got.values.tolist() == [[1, 4, 0.35], [1, 5, 0.0]]
