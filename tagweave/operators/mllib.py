@@ -93,45 +93,114 @@ class OnlineParams:
     seed: int = 3
 
 
+def _vector_entries(batches):
+    """Arrow batches (..., features = vectors as Spark lays them out) with the non-zero
+    entries as two lists instead; a vector's other columns stay."""
+    import pyarrow as pa
+    for b in batches:
+        cols, v = b.columns[:-1], b.column(b.num_columns - 1)
+        kind, idx, val = (v.field(k) for k in ("type", "indices", "values"))
+        there = v.is_valid().to_numpy(zero_copy_only=False)
+        size = val.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) * there
+        dense = (kind.fill_null(0).to_numpy(zero_copy_only=False) == 1) & there
+        start = np.concatenate([[0], np.cumsum(size)])
+        values = np.empty(start[-1])
+        places = np.empty(start[-1], dtype=np.int32)
+        row = np.repeat(np.arange(len(size)), size)
+        values[:] = val.filter(pa.array(there)).flatten().to_numpy(zero_copy_only=False)
+        of_dense = dense[row]
+        places[of_dense] = (np.arange(len(row)) - start[row])[of_dense]
+        places[~of_dense] = idx.filter(pa.array(there & ~dense)).flatten().to_numpy(zero_copy_only=False)
+        kept = values != 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(size)))])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[kept]), mask=pa.array(~there)) for c in (places, values)]
+        yield pa.RecordBatch.from_arrays([*cols, *lists], [*b.schema.names[:-1], "idx", "val"])
+
+
 def sparse_rows(x: DataFrame, *keep: str) -> DataFrame:
-    """(id, ..., idx, val) of (id, features): the non-zero entries as arrays (rows that have them already stay)."""
+    """(id, ..., idx, val) of (id, features): the non-zero entries as arrays (rows that have them already stay).
+    Vectors reach Arrow in their sparse form, so a row costs its entries, not its width."""
     if "idx" in x.columns:
         return x.select("id", *keep, "idx", "val")
-    entries = let(vector_to_array("features"), lambda d: F.filter(
-        F.transform(d, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0))
-    return x.select("id", *keep, entries.alias("e")).select(
-        "id", *keep, F.transform("e", lambda e: e["i"]).alias("idx"), F.transform("e", lambda e: e["v"]).alias("val"))
+    kinds = dict(x.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in ("id", *keep)], "idx array<int>", "val array<double>"])
+    return x.select("id", *keep, "features").mapInArrow(_vector_entries, schema)
+
+
+#: Ranges of a table of weights whose changes are added up apart.
+WEIGHT_PARTS = 16
+
+
+def split_entries(every: np.ndarray):
+    """An Arrow batch (part, i, d): the keys (places) and numbers of ``every`` that are not 0, a row for
+    each range of keys."""
+    import pyarrow as pa
+    key, size = np.flatnonzero(every), len(every)
+    cut = np.searchsorted(key, -(-size * np.arange(WEIGHT_PARTS + 1) // WEIGHT_PARTS))
+    some = [p for p in range(WEIGHT_PARTS) if cut[p] < cut[p + 1]]
+    keys, numbers = [key[cut[p]:cut[p + 1]] for p in some], [every[key[cut[p]:cut[p + 1]]] for p in some]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.float64()))], ["part", "i", "d"])
+
+
+ENTRIES = "part int, i array<long>, d array<double>"
+
+
+def add_up(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums) of ``split_entries`` rows. A key's numbers are added in order, so that a
+    rerun agrees; a range is one task, and as many numbers as there are keys reach the driver."""
+    import pyarrow as pa
+
+    def add(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                some = b.column("e").slice(r, 1).flatten()
+                key, d = (some.field(c).flatten().to_numpy(zero_copy_only=False) for c in ("i", "d"))
+                order = np.lexsort((d, key))
+                own, at = np.unique(key[order], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.list_(pa.int64())), pa.array([np.bincount(at, d[order], len(own))], pa.list_(pa.float64()))], ["i", "d"])
+
+    held = entries.groupBy("part").agg(F.collect_list(F.struct("i", "d")).alias("e")).select("e")
+    found = held.mapInArrow(add, "i array<long>, d array<double>").toPandas()
+    return np.concatenate([*found["i"], np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*found["d"], np.empty(0)])
+
+
+def arrow_rows(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow batch with idx and val: where each row's entries start, and all entries."""
+    size = b.column("idx").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    idx, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "val"))
+    return np.concatenate([[0], np.cumsum(size)]), idx.astype(np.int64), val.astype(float)
 
 
 def _epoch_fn(kind: str, n_classes: int, dim: int, C: float, bc):
-    def changes(w: np.ndarray) -> pd.DataFrame:
-        delta = w - bc.value
-        k, i = np.nonzero(delta)
-        return pd.DataFrame({"k": k, "i": i, "d": delta[k, i]})
+    signs = np.where(np.eye(n_classes, dtype=bool), 1.0, -1.0)
+
+    def changes(w: np.ndarray):
+        return split_entries((w - bc.value).ravel())
 
     def epoch(batches):
         """Whole shards, one after the other, their rows in order."""
         shard = w = None
-        for pdf in batches:
-            for own, idx, val, y in zip(pdf["shard"], pdf["idx"], pdf["val"], pdf["y"]):
+        for b in batches:
+            start, idxs, vals = arrow_rows(b)
+            shards, ys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "y"))
+            for r, (own, y) in enumerate(zip(shards.tolist(), ys.tolist())):
                 if own != shard:
                     if w is not None:
                         yield changes(w)
                     shard, w = own, bc.value.copy()      # (classes, dim + 1), last column = bias
-                idx = np.asarray(idx, dtype=int)
-                val = np.asarray(val, dtype=float)
+                idx, val = idxs[start[r]:start[r + 1]], vals[start[r]:start[r + 1]]
+                t = signs[int(y)]
                 s = w[:, idx] @ val + w[:, dim]
-                t = np.where(np.arange(n_classes) == int(y), 1.0, -1.0)
                 if kind == "perceptron":
-                    upd = (t * s <= 0).astype(float) * t
+                    nz = np.flatnonzero(t * s <= 0)
+                    upd = t[nz]
                 else:
                     loss = np.maximum(0.0, 1.0 - t * s)
-                    tau = np.minimum(C, loss / (val @ val + 1.0))
-                    upd = tau * t
-                nz = upd != 0
-                if nz.any():
-                    w[np.ix_(nz, idx)] += np.outer(upd[nz], val)
-                    w[nz, dim] += upd[nz]
+                    nz = np.flatnonzero(loss)
+                    upd = np.minimum(C, loss[nz] / (val @ val + 1.0)) * t[nz] if len(nz) else nz
+                if len(nz):
+                    w[nz[:, None], idx] += upd[:, None] * val
+                    w[nz, dim] += upd
         if w is not None:
             yield changes(w)
     return epoch
@@ -152,14 +221,12 @@ def fit_online(data: DataFrame, n_classes: int, dim: int, p: OnlineParams) -> np
     w = np.zeros((n_classes, dim + 1))
     for _ in range(p.n_iter):
         bc = spark.sparkContext.broadcast(w)
-        moved = rows.mapInPandas(_epoch_fn(p.kind, n_classes, dim, p.C, bc), "k int, i int, d double")
-        # Summed in order, so that a rerun agrees; classes x features numbers reach the driver, whatever the shards.
-        total = F.aggregate(F.array_sort(F.collect_list("d")), F.lit(0.0), lambda a, d: a + d)
-        found = moved.groupBy("k", "i").agg(total.alias("d")).toPandas()
+        # Whatever the shards, classes x features numbers reach the driver.
+        at, d = add_up(rows.mapInArrow(_epoch_fn(p.kind, n_classes, dim, p.C, bc), ENTRIES))
         w = w.copy()
-        w[found["k"].to_numpy(dtype=int), found["i"].to_numpy(dtype=int)] += found["d"].to_numpy(dtype=float) / shards
+        w.reshape(-1)[at] += d / shards
         bc.unpersist()
-        if not len(found):
+        if not len(at):
             break
     return w
 

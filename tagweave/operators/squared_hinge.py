@@ -15,16 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.operators.mllib import sparse_rows
+from tagweave.operators.mllib import ENTRIES, add_up, arrow_rows, sparse_rows, split_entries
 from tagweave.session import cut_lineage
 
 #: The weights are held by the driver and by each task.
 WEIGHT_BYTES = 256 << 20
 _LOSS, _DUAL = -1, -2
+#: Rows that a task multiplies at once.
+SCAN_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -96,31 +98,45 @@ def _scan(rows: DataFrame, C: float, w: np.ndarray, way: np.ndarray | None):
     spark, shape = rows.sparkSession, w.shape
     bc = spark.sparkContext.broadcast((w, way))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, way = bc.value
+    def add(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        w, way = (None if x is None else np.ascontiguousarray(x.T) for x in bc.value)
         dim, classes = shape[1] - 1, np.arange(shape[0])
-        total, loss, dual = np.zeros((shape[1], shape[0])), np.zeros(shape[0]), np.zeros(shape[0])
-        for b in batches:
-            for i, v, y in zip(b["idx"], b["val"], b["y"]):
-                # The bias is one more feature, always 1.
-                i, v = np.append(np.asarray(i, dtype=int), dim), np.append(np.asarray(v, dtype=float), 1.0)
-                t = np.where(classes == y, 1.0, -1.0)
-                short = np.maximum(1 - t * (w[:, i] @ v), 0)
-                if way is None:
-                    a = 2 * C * short
-                    loss += C * short * short
-                    dual += a - a * a / (4 * C)
-                    total[i] += np.outer(v, a * t)
-                else:
-                    total[i] += np.outer(v, 2 * C * (short > 0) * (way[:, i] @ v))
-        i, k = np.nonzero(total)
-        yield pd.DataFrame({"k": np.concatenate([k, classes, classes]), "i": np.concatenate([i, np.full(len(classes), _LOSS), np.full(len(classes), _DUAL)]),
-                            "d": np.concatenate([total[i, k], loss, dual])})
-
-    # Classes x (features + 2) rows at most.
-    sums = rows.mapInPandas(add, "k int, i int, d double").groupBy("k", "i").agg(F.sum("d").alias("d")).toPandas()
+        total, loss, dual = np.zeros(shape), np.zeros(shape[0]), np.zeros(shape[0])
+        for b in _pieces(batches):
+            start, i, v = arrow_rows(b)
+            row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+            t = np.where(classes == b.column("y").to_numpy(zero_copy_only=False)[:, None], 1.0, -1.0)
+            short = np.maximum(1 - t * _scores(w, start, i, v), 0)
+            if way is None:
+                a = 2 * C * short
+                loss += C * (short * short).sum(axis=0)
+                dual += (a - a * a / (4 * C)).sum(axis=0)
+                a *= t
+            else:
+                a = 2 * C * (short > 0) * _scores(way, start, i, v)
+            for k in np.flatnonzero(a.any(axis=0)):
+                total[k, :dim] += np.bincount(i, v * a[row, k], dim)
+            total[:, dim] += a.sum(axis=0)      # the bias is one more feature, always 1
+        yield split_entries(np.concatenate([total.ravel(), loss, dual]))
+
+    # Classes x (features + 3) numbers at most.
+    key, d = add_up(rows.mapInArrow(add, ENTRIES))
     bc.unpersist()
-    k, i, d = (sums[c].to_numpy() for c in ("k", "i", "d"))
-    total, extra = np.zeros(shape), {e: np.bincount(k[i == e], d[i == e], shape[0]) for e in (_LOSS, _DUAL)}
-    total[k[i >= 0], i[i >= 0]] = d[i >= 0]
-    return total, extra
+    every = np.zeros(shape[0] * (shape[1] + 2))
+    every[key] = d
+    total, loss, dual = np.split(every, [shape[0] * shape[1], shape[0] * (shape[1] + 1)])
+    return total.reshape(shape), {_LOSS: loss, _DUAL: dual}
+
+
+def _pieces(batches: Iterator) -> Iterator:
+    for b in batches:
+        for at in range(0, b.num_rows, SCAN_ROWS):
+            yield b.slice(at, SCAN_ROWS)
+
+
+def _scores(w: np.ndarray, start: np.ndarray, i: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows x classes: w.x with the bias, ``w`` features x classes, bias last."""
+    s, some = np.tile(w[-1], (len(start) - 1, 1)), np.flatnonzero(np.diff(start))
+    if len(some):
+        s[some] += np.add.reduceat(w[i] * v[:, None], start[some], axis=0)
+    return s

@@ -112,3 +112,35 @@ def test_knn_adds_up_repeated_terms():
     right = pd.DataFrame({"id": [4, 5, 6], "t": [np.array([3, 8, 8]), None, np.array([9])], "v": [np.array([0.4, 0.1, 0.2]), None, np.array([1.0])]})
     got = C._best_of_block(left, right, 2)
     assert got.values.tolist() == [[1, 4, 0.35], [1, 5, 0.0]]
+
+
+def test_sparse_rows_cost_their_entries(spark):
+    """A vector of 2^30 numbers is never laid out; explicit zeros, dense and missing vectors."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    from tagweave.operators import mllib as ML
+    rows = [(1, "a", Vectors.sparse(1 << 30, {7: 2.0, 1 << 29: -1.5})), (2, None, Vectors.dense([0.0, 3.0, 0.0, 4.0])), (None, "c", Vectors.sparse(9, [1, 3], [0.0, 5.0])),
+            (4, "d", None), (5, "e", Vectors.sparse(9, {})), (6, "f", Vectors.dense([float("nan")]))]
+    x = spark.createDataFrame(rows, StructType([StructField("id", LongType()), StructField("y", StringType()), StructField("features", VectorUDT())]))
+    got = [tuple(r) for r in ML.sparse_rows(x.coalesce(1), "y").collect()]
+    assert got[:5] == [(1, "a", [7, 1 << 29], [2.0, -1.5]), (2, None, [1, 3], [3.0, 4.0]), (None, "c", [3], [5.0]), (4, "d", None, None), (5, "e", [], [])]
+    assert got[5][2] == [0] and np.isnan(got[5][3][0])
+
+
+def test_changes_are_added_up_as_arrays(spark):
+    """A table's changes are a few rows whatever its size, added in order of the numbers."""
+    from tagweave.operators import mllib as ML
+    rng = np.random.default_rng(6)
+    tables = [rng.normal(size=5000) * (rng.random(5000) < 0.3) for _ in range(12)]
+    assert all(ML.split_entries(t).num_rows <= ML.WEIGHT_PARTS for t in tables)
+    made = spark.createDataFrame([(i,) for i in range(12)], "n int").repartition(5).mapInArrow(
+        lambda batches: (ML.split_entries(tables[n]) for b in batches for n in b.column("n").to_pylist()), ML.ENTRIES)
+    key, d = ML.add_up(made)
+    got = np.zeros(5000)
+    got[key] = d
+    want = np.zeros(5000)
+    for row in np.sort(np.array(tables), axis=0):
+        want += row
+    assert (got == want).all() and len(np.unique(key)) == len(key)
+    none = ML.add_up(made.where("part < 0"))
+    assert len(none[0]) == len(none[1]) == 0
