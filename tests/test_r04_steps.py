@@ -144,3 +144,14 @@ def test_changes_are_added_up_as_arrays(spark):
     assert (got == want).all() and len(np.unique(key)) == len(key)
     none = ML.add_up(made.where("part < 0"))
     assert len(none[0]) == len(none[1]) == 0
+
+
+def test_post_of_a_line_reads_the_comments_once(spark):
+    from tagweave.plans import q_mllib as Q
+    from test_r03_steps import FakeTables, counted
+    words = ["red green blue", "one two three", "cat dog bird"]
+    data = [(i % 3, '{"message": "%s\\n%s %d"}' % (words[i % 3], words[i % 3], i)) for i in range(45)]
+    comments, seen = counted(spark.createDataFrame(data, "post_id long, comment string"))
+    got = Q.m23_post_id_perceptron(FakeTables(comments=comments)).collect()
+    assert got and sum(r["label"] == r["prediction"] for r in got) > 0.9 * len(got)
+    assert seen.value == 45
